@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.text import clip, dashed, line, lines, nonblank, pipe_list, sval, tokens
-from ..session import materialise
+from ..session import materialise, small_side
 from .relational import substring_pairs, top_k
 from .search import rarest_gram_pairs
 from .support import policy_ids, ticket_haystack
@@ -131,7 +131,11 @@ def _text_line(label: str, column: str) -> Column:
 
 
 def build_nodes(tables: dict[str, DataFrame], spec=SUPPORT_NODES, teams=TEAM_COLUMNS) -> DataFrame:
-    """All entity and team nodes; the last definition of an id wins."""
+    """All entity and team nodes; the last definition of an id wins.
+
+    Every table is scanned once: a row expands into its own node and the team nodes of its
+    owner columns.
+    """
     parts = []
     for step, entry in enumerate(spec):
         table, kind, key, label_cols, *rest = entry
@@ -144,51 +148,60 @@ def build_nodes(tables: dict[str, DataFrame], spec=SUPPORT_NODES, teams=TEAM_COL
         nid = node_key(kind, key)
         fallback = nid if rest else sval(key)
         text = lines(*[_text_line(n, c) for n, c in rest[0] if c in df.columns]) if rest else F.lit("")
-        df = df if rest else df.where(nonblank(key).isNotNull())
-        parts.append(df.select(
-            nid.alias("node_id"), F.lit(kind).alias("node_type"),
-            F.coalesce(F.nullif(label, F.lit("")), fallback).alias("label"), text.alias("text"),
-            _properties(df).alias("properties"), F.lit(step).alias("_step"), F.col("_ord").cast("long").alias("_ord")))
-    for step, (table, _, owner, _, _) in enumerate(teams):
-        if table in tables and owner in tables[table].columns:
-            df = tables[table].where(nonblank(owner).isNotNull())
-            name = sval(owner)
-            parts.append(df.select(
-                team_key(owner).alias("node_id"), F.lit("Team").alias("node_type"), name.alias("label"),
-                F.concat(F.lit("Team "), name).alias("text"), F.create_map(F.lit("team_name"), name).alias("properties"),
-                F.lit(step).alias("_step"), F.col("_ord").cast("long").alias("_ord")))
+        order = F.struct(F.lit(step).alias("step"), F.col("_ord").cast("long").alias("ord"))
+        own = _node(nid, kind, F.coalesce(F.nullif(label, F.lit("")), fallback), text, _properties(df), order)
+        found = [own if rest else F.when(nonblank(key).isNotNull(), own)]
+        for team_step, (team_table, _, owner, _, _) in enumerate(teams):
+            if team_table == table and owner in df.columns:
+                name = sval(owner)
+                at = F.struct(F.lit(team_step).alias("step"), F.col("_ord").cast("long").alias("ord"))
+                found.append(F.when(name != "", _node(team_key(owner), "Team", name, F.concat(F.lit("Team "), name),
+                                                      F.create_map(F.lit("team_name"), name), at)))
+        parts.append(df.select(F.explode(F.array_compact(F.array(*found))).alias("_n")).select("_n.*"))
     union = reduce(DataFrame.unionByName, parts)
-    # maps cannot be aggregated by comparison, so the row travels as a struct
+    # maps cannot be compared, so the row travels as a struct beside its order
     row = F.struct("node_type", "label", "text", "properties")
-    return (union.groupBy("node_id").agg(F.max_by(row, F.struct("_step", "_ord")).alias("_r"))
+    return (union.groupBy("node_id").agg(F.max_by(row, F.struct("order", "text")).alias("_r"))
             .select("node_id", "_r.*"))
 
 
-def _edge(df, src, dst, kind, step, props=None, ord_col="_ord"):
+def _node(node_id, kind, label, text, properties, order) -> Column:
+    return F.struct(node_id.alias("node_id"), F.lit(kind).alias("node_type"), label.alias("label"), text.alias("text"),
+                    properties.alias("properties"), order.alias("order"))
+
+
+def _edge(src, dst, kind, step, props=None) -> Column:
     empty = F.create_map().cast("map<string,string>")
-    return df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"),
-                     (props if props is not None else empty).alias("properties"),
-                     F.lit(step).alias("_step"), F.col(ord_col).cast("long").alias("_ord"))
+    return F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"),
+                    (props if props is not None else empty).alias("properties"),
+                    F.struct(F.lit(step).alias("step"), F.col("_ord").cast("long").alias("ord")).alias("order"))
 
 
-def rule_edges(tickets: DataFrame, step: int = 90) -> DataFrame:
-    """Ticket to policy edges from the keyword rules."""
-    hit = tickets.select("ticket_id", "_ord", F.explode(policy_ids(ticket_haystack())).alias("policy_id"))
-    return _edge(hit, node_key("Ticket", "ticket_id"), node_key("Policy", "policy_id"), "REFERENCES_POLICY",
-                 step, F.create_map(F.lit("reason"), F.lit("rule_based_ticket_context")))
+def rule_edges(step: int = 90) -> Column:
+    """Edges from a ticket row to the policies its keyword rules name, as an array."""
+    return F.transform(policy_ids(ticket_haystack()), lambda p: _edge(
+        node_key("Ticket", "ticket_id"), F.concat(F.lit("Policy:"), p), "REFERENCES_POLICY", step,
+        F.create_map(F.lit("reason"), F.lit("rule_based_ticket_context"))))
 
 
-def _candidate_edges(tables, spec, teams) -> DataFrame:
+def _edge_rows(tables: dict[str, DataFrame], spec, teams, extra: dict[str, list[Column]]) -> DataFrame:
+    """One scan per table: each row expands into all edges it implies."""
     parts = []
-    for step, (table, st, sc, dt, dc, kind) in enumerate(spec):
-        if table in tables and {sc, dc} <= set(tables[table].columns):
-            df = tables[table].where(nonblank(sc).isNotNull() & nonblank(dc).isNotNull())
-            parts.append(_edge(df, node_key(st, sc), node_key(dt, dc), kind, step))
-    for step, (table, key, owner, role, kind) in enumerate(teams):
-        if table in tables and owner in tables[table].columns:
-            df = tables[table].where(nonblank(owner).isNotNull())
-            parts.append(_edge(df, node_key(kind, key), team_key(owner), "OWNED_BY_TEAM", 30 + step,
-                               F.create_map(F.lit("role"), F.lit(role))))
+    for table, df in tables.items():
+        have = set(df.columns)
+        found = []
+        for step, (t, st, sc, dt, dc, kind) in enumerate(spec):
+            if t == table and {sc, dc} <= have:
+                both = nonblank(sc).isNotNull() & nonblank(dc).isNotNull()
+                found.append(F.when(both, _edge(node_key(st, sc), node_key(dt, dc), kind, step)))
+        for step, (t, key, owner, role, kind) in enumerate(teams):
+            if t == table and owner in have:
+                found.append(F.when(nonblank(owner).isNotNull(), _edge(
+                    node_key(kind, key), team_key(owner), "OWNED_BY_TEAM", 30 + step, F.create_map(F.lit("role"), F.lit(role)))))
+        arrays = ([F.array(*found)] if found else []) + extra.get(table, [])
+        if arrays:
+            every = F.array_compact(F.concat(*arrays))
+            parts.append(df.select(F.explode(every).alias("_e")).select("_e.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -200,37 +213,31 @@ def build_edges(tables: dict[str, DataFrame], nodes: DataFrame, as_built: bool =
     services before policies never creates.
     """
     spec = [e for e in SUPPORT_EDGES if not (as_built and e[4] == "runbook_policy_id")]
-    union = _candidate_edges(tables, spec, TEAM_COLUMNS)
-    if "github_issues" in tables:
-        links = tables["github_issues"].select("issue_id", "_ord", F.explode(pipe_list("linked_ticket_ids")).alias("tk"))
-        union = union.unionByName(_edge(links, node_key("Ticket", "tk"), node_key("GitHubIssue", "issue_id"),
-                                        "RELATED_TO_ISSUE", 60))
-    if "tickets" in tables:
-        union = union.unionByName(rule_edges(tables["tickets"]))
-    if "ticket_resolutions" in tables:
-        r = tables["ticket_resolutions"]
-        tk, pol, iss = node_key("Ticket", "ticket_id"), node_key("Policy", "linked_policy_id"), node_key("GitHubIssue", "linked_issue_id")
-        full = F.create_map(*[x for c in ["resolution_id", "resolution_type", "summary", "resolved_at"]
-                              for x in (F.lit(c), sval(c))])
-        rid = F.create_map(F.lit("resolution_id"), sval("resolution_id"))
-        for step, (dst, kind, props) in enumerate([(pol, "HAS_RESOLUTION", full), (pol, "REFERENCES_POLICY", rid),
-                                                   (iss, "RELATED_TO_ISSUE", rid)]):
-            union = union.unionByName(_edge(r, tk, dst, kind, 91 + step, props))
+    tk, pol, iss = node_key("Ticket", "ticket_id"), node_key("Policy", "linked_policy_id"), node_key("GitHubIssue", "linked_issue_id")
+    full = F.create_map(*[x for c in ["resolution_id", "resolution_type", "summary", "resolved_at"] for x in (F.lit(c), sval(c))])
+    rid = F.create_map(F.lit("resolution_id"), sval("resolution_id"))
+    extra = {
+        "github_issues": [F.transform(pipe_list("linked_ticket_ids"), lambda t: _edge(
+            F.concat(F.lit("Ticket:"), t), node_key("GitHubIssue", "issue_id"), "RELATED_TO_ISSUE", 60))],
+        "tickets": [rule_edges()],
+        "ticket_resolutions": [F.array(
+            _edge(tk, pol, "HAS_RESOLUTION", 91, full), _edge(tk, pol, "REFERENCES_POLICY", 92, rid),
+            _edge(tk, iss, "RELATED_TO_ISSUE", 93, rid))],
+    }
+    union = _edge_rows(tables, spec, TEAM_COLUMNS, extra)
     known = nodes.select("node_id")
     both_ends = (union.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi")
                  .join(known.withColumnRenamed("node_id", "dst"), "dst", "left_semi"))
     return (both_ends.groupBy("src", "dst", "edge_type")
-            .agg(F.min_by("properties", F.struct("_step", "_ord")).alias("properties")))
+            .agg(F.min_by("properties", "order").alias("properties")))
 
 
 def banking_graph(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Banking nodes and edges: blank ends are skipped, edges are neither checked nor merged."""
     nodes = build_nodes(tables, BANKING_NODES, [])
-    edges = _candidate_edges(tables, BANKING_EDGES, [])
-    links = tables["aml_cases"].where(nonblank("case_id").isNotNull()).select(
-        "case_id", "_ord", F.explode(pipe_list("linked_alert_ids")).alias("al"))
-    edges = edges.unionByName(_edge(links, node_key("FraudAlert", "al"), node_key("AMLCase", "case_id"),
-                                    "LINKED_TO_CASE", 60))
+    links = F.transform(pipe_list("linked_alert_ids"), lambda a: F.when(nonblank("case_id").isNotNull(), _edge(
+        F.concat(F.lit("FraudAlert:"), a), node_key("AMLCase", "case_id"), "LINKED_TO_CASE", 60)))
+    edges = _edge_rows(tables, BANKING_EDGES, [], {"aml_cases": [links]})
     return nodes, edges.select("src", "dst", "edge_type")
 
 
@@ -240,10 +247,12 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(query_id, node_id, hop) within ``depth`` undirected hops, seeds excluded.
 
     Each hop keeps a (query, node) once, so a hub reached over many edges is expanded
-    once. Hops beyond the third start from a checkpoint.
+    once. The link table and every frontier are stored before they are used again.
     """
-    links = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_z")).unionByName(
-        edges.select(F.col("dst").alias("_a"), F.col("src").alias("_z"))).distinct()
+    ends = F.array(F.struct(F.col("src").alias("_a"), F.col("dst").alias("_z")),
+                   F.struct(F.col("dst").alias("_a"), F.col("src").alias("_z")))
+    links = edges.select(F.explode(ends).alias("_l")).select("_l.*").distinct()
+    links = materialise(links) if depth > 1 else links
     seen = seeds.select("query_id", "node_id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -251,7 +260,7 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
                 .select("query_id", F.col("_z").alias("node_id")).distinct()
                 .join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
                 .withColumn("hop", F.lit(hop)))
-        frontier = materialise(step) if hop > 3 else step
+        frontier = materialise(step) if hop < depth else step
         seen = seen.unionByName(frontier)
     return seen.where("hop > 0")
 
@@ -276,10 +285,10 @@ def search_nodes(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     toks = (q.select("query_id", F.explode(tokens("_q", "graph")).alias("token"))
             .groupBy("query_id", "token").agg(F.count("*").alias("w")))
     vocab = base.select(F.explode(word_list).alias("term")).distinct()
-    q_words = rarest_gram_pairs(vocab, "term", toks, "token").join(toks, "token")
+    q_words = rarest_gram_pairs(materialise(vocab), "term", toks, "token").join(toks, "token")
     placed = base.select("node_id", "node_type", "label", word_list.alias("_ws")).repartition("node_id")
-    per_token = (placed.select("node_id", "node_type", "label", F.explode("_ws").alias("term"))
-                 .join(q_words, "term")
+    per_token = (placed.select("node_id", "node_type", "label", F.explode_outer("_ws").alias("term"))
+                 .join(small_side(q_words), "term")
                  .groupBy("node_id", "query_id", "token")
                  .agg(F.max("w").alias("w"), F.first("node_type").alias("node_type"), F.first("label").alias("label")))
     scored = per_token.groupBy("node_id", "query_id").agg(

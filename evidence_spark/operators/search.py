@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.text import first_nonblank, nonblank, sval, tokens
+from ..session import materialise, small_side
 from .relational import substring_pairs, top_k
 
 FILTER_FIELDS = ["source_type", "customer_id", "ticket_id", "service_id", "product_id"]
@@ -71,10 +72,11 @@ def _scored(docs: DataFrame, doc_items: Column, q_items: DataFrame, score: Colum
     ``doc_items`` is an array of (kind, term, n); ``q_items`` has query_id, kind, term and w.
     """
     placed = docs.select("doc_key", *carry, doc_items.alias("_items")).repartition("doc_key")
-    items = placed.select("doc_key", *carry, F.explode("_items").alias("_i")).select(
+    # the outer form keeps Spark from evaluating the item array a second time in a filter
+    items = placed.select("doc_key", *carry, F.explode_outer("_items").alias("_i")).select(
         "doc_key", *carry, "_i.*")
     extra = [F.first(c).alias(c) for c in carry if c != "doc_key"]
-    return (items.join(q_items, ["kind", "term"])
+    return (items.join(small_side(q_items), ["kind", "term"])
             .groupBy("doc_key", "query_id").agg(score.alias("score"), *extra))
 
 
@@ -150,7 +152,7 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict |
         vocab = docs.select(F.explode(title_words).alias("word")).distinct()
         toks = queries.select("query_id", F.explode(tokens("query", profile)).alias("token"))
         q_items = q_items.unionByName(
-            rarest_gram_pairs(vocab, "word", toks, "token").join(toks, "token")
+            rarest_gram_pairs(materialise(vocab), "word", toks, "token").join(toks, "token")
             .select("query_id", F.lit("t").alias("kind"), F.col("word").alias("term")).distinct())
     score = (F.sum(F.when(F.col("kind") == "w", 1.0).when(F.col("kind") == "v", 4.0).otherwise(0.0))
              + F.max(F.when(F.col("kind") == "t", 2.0).otherwise(0.0)))
@@ -177,8 +179,8 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | N
         "query_id", "term", (F.log(1.0 + (F.col("_s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
                              if idf else F.lit(1.0)).alias("w"))
     placed = base.repartition("doc_key")
-    tf = (placed.select("doc_key", "_len", F.explode("_t").alias("term"))
-          .join(weighted.withColumn("_avg", stats["avg"]), "term")
+    tf = (placed.select("doc_key", "_len", F.explode_outer("_t").alias("term"))
+          .join(small_side(weighted.withColumn("_avg", stats["avg"])), "term")
           .groupBy("doc_key", "query_id", "term")
           .agg(F.count("*").cast("double").alias("tf"), F.first("w").alias("w"),
                F.first("_len").alias("_len"), F.first("_avg").alias("_avg")))

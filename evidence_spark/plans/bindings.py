@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import materialise
+
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -189,6 +191,29 @@ UNION ALL
 SELECT concat('knowledge_base:', policy_id), concat('kb::', policy_id), content, 'policies', 'knowledge_base', policy_id, title,
   '', '', '', product_id, service_id, policy_id, path, '' FROM knowledge_base_docs"""
 
+ROLE_SQL["question_vectors"] = "SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id"
+ROLE_SQL["doc_vectors"] = f"SELECT concat('document:doc_', {s('vec_id')}) AS doc_key, embedding FROM embeddings"
+
+ROLE_SQL["leaf_hits"] = f"""
+SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rank,
+  CASE l_linenumber % 5 WHEN 0 THEN 'parent' ELSE 'leaf' END AS node_type,
+  concat('leaf_', {s('l_orderkey')}, '_', {s('l_linenumber')}, '_', {s('l_partkey')}) AS leaf_id, concat('tkt_', {s('l_orderkey')}) AS parent_id,
+  concat('cust_', {s('o_custkey')}) AS origin_doc_id, concat('line_', {s('l_orderkey')}, '_', {s('l_linenumber')}, '_', {s('l_partkey')}) AS doc_id,
+  concat('Line ', {s('l_linenumber')}, ' of order ', {s('l_orderkey')}) AS text, 'Order line' AS title, 'lines' AS source, 'line' AS source_type, '' AS path, '' AS url
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+ROLE_SQL["parent_nodes"] = """
+SELECT ticket_id AS parent_id, _ord AS parent_index, concat(' ', title, ' ') AS text, concat('ticket::', ticket_id) AS doc_id, title, 'tickets' AS source,
+  'ticket' AS source_type, '' AS path, '' AS url, customer_id AS origin_doc_id FROM tickets"""
+
+ROLE_SQL["eval_cases"] = f"""
+SELECT query_id, query, CASE query_id % 5 WHEN 0 THEN 'tickets' WHEN 1 THEN 'GitHub_Docs' WHEN 2 THEN 'ticket|policies' ELSE '' END AS sources,
+  CASE query_id % 4 WHEN 0 THEN concat('ticket::tkt_', {s('query_id')}) WHEN 1 THEN 'passkey' ELSE '' END AS documents,
+  CASE query_id % 3 WHEN 0 THEN 'incident|policy guide' WHEN 1 THEN 'ticket' ELSE '' END AS categories,
+  CASE query_id % 8 WHEN 5 THEN 'github_authentication' WHEN 6 THEN 'gitlab_handbook|repository_access' WHEN 2 THEN 'gitlab_handbook' WHEN 0 THEN 'repository_access' ELSE '' END AS intents,
+  CASE query_id % 2 WHEN 0 THEN concat('tkt_', {s('query_id')}, '|cust_', {s('query_id')}) ELSE '' END AS entity_ids,
+  CASE query_id % 3 WHEN 0 THEN 'ticket|customer' WHEN 1 THEN 'ticket' ELSE '' END AS source_types
+FROM questions"""
+
 ROLE_SQL["customer_questions"] = f"""
 SELECT c_custkey AS query_id, CASE c_custkey % 4
     WHEN 0 THEN concat('Summarize customer cust_', {s('c_custkey')}, ' account health and renewal.')
@@ -300,6 +325,13 @@ class Roles:
         sql = _braces(sql, deps)
         return self.spark.sql(sql, **{d: self[d] for d in deps})
 
+    def shared(self, name: str, build) -> DataFrame:
+        """A stored result that several steps of one query start from."""
+        key = f"shared:{name}"
+        if key not in self._held:
+            self._held[key] = materialise(build())
+        return self._held[key]
+
     def support(self, *names) -> dict[str, DataFrame]:
         return {n: self[n] for n in (names or SUPPORT_TABLES)}
 

@@ -526,7 +526,7 @@ def _(r):
     return b.select(*[x for f in K.FEATURES for x in (F.round(f"{f}_mean", 6).alias(f"{f}_mean"), f"{f}_max")])
 
 
-SHARED["scored"] = f"SELECT features.*, least(100.0, greatest(0.0, {_RAW})) AS raw FROM features, baselines"
+SHARED["scored"] = f"SELECT features.*, least(100.0, greatest(0.0, {_RAW})) AS raw FROM features JOIN baselines ON true"
 
 
 @query("risk_scores", """

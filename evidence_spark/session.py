@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import SparkSession, functions as F
 
 # Settings that are safe on any cluster: nothing here pins a machine-local path.
 BASE_CONF = {
@@ -34,6 +37,7 @@ def local_spark(cpus: int | None = None) -> SparkSession:
         **{
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.ui.enabled": "false",
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
             "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
             "spark.sql.streaming.stateStore.providerClass":
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -49,14 +53,43 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_scratch: list[tempfile.TemporaryDirectory] = []
+
+
+def _store_folder(spark: SparkSession) -> str | None:
+    """The shared folder for stored results, or None when the cluster names none."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        if not _scratch:
+            _scratch.append(tempfile.TemporaryDirectory(prefix="evidence-store-"))
+        folder = _scratch[0].name
+    return folder
+
+
 def materialise(df):
-    """Cut lineage at a reliable checkpoint so later stages do not replay the plan.
+    """Store a result as a table and return the table, cutting the lineage.
+
+    Later stages read only the columns they need and see real sizes. The folder is the one
+    the cluster names in ``spark.checkpoint.dir``; a local session without one gets a
+    scratch folder. A cluster without one falls back to recomputable caching, because a
+    machine-local folder would not survive a lost executor.
+    """
+    spark = df.sparkSession
+    folder = _store_folder(spark)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df, max_rows: int = BROADCAST_ROWS):
+    """A stored copy that is broadcast only when its counted size allows it.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``. Without one
-    (a plain local test session) the plan is simply left lazy.
+    Beyond ``max_rows`` the plain table is returned and the join shuffles both sides.
     """
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if folder and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df
+    stored = materialise(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
