@@ -122,8 +122,22 @@ def metadata_values(fields: list[str], have) -> Column:
     return F.array_compact(F.array(*[nonblank(f) for f in fields if f in have]))
 
 
+def allowed_pairs(scored: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Keep pairs inside each question's own filters.
+
+    ``allowed`` has query_id, source_types (empty means any) and the four id fields (NULL
+    means any). Runs before the rank limit, so the top k is taken among allowed documents.
+    """
+    ids = ["customer_id", "ticket_id", "service_id", "product_id"]
+    rules = small_side(allowed.select("query_id", "source_types", *[F.col(f).alias(f"_f_{f}") for f in ids]))
+    ok = (F.size("source_types") == 0) | F.array_contains("source_types", F.col("source_type"))
+    for f in ids:
+        ok = ok & (F.col(f"_f_{f}").isNull() | (F.col(f"_f_{f}") == F.col(f)))
+    return scored.join(rules, "query_id").where(ok).drop("source_types", *[f"_f_{f}" for f in ids])
+
+
 def lexical_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | None = None,
-                   profile: str = "retrieval") -> DataFrame:
+                   profile: str = "retrieval", allowed: DataFrame | None = None) -> DataFrame:
     """Token overlap, title and metadata bonuses; highest score first, then identity.
 
     profile "retrieval": +2 when a query token occurs in the title, ties by doc_key descending.
@@ -157,7 +171,11 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict |
     score = (F.sum(F.when(F.col("kind") == "w", 1.0).when(F.col("kind") == "v", 4.0).otherwise(0.0))
              + F.max(F.when(F.col("kind") == "t", 2.0).otherwise(0.0)))
     carry = () if plain else ("source_type", "doc_id")
+    if allowed is not None:
+        carry = tuple(dict.fromkeys([*carry, *FILTER_FIELDS]))
     scored = _scored(docs, doc_items, q_items, score, carry).where("score > 0")
+    if allowed is not None:
+        scored = allowed_pairs(scored, allowed)
     ties = [F.col("doc_key").desc()] if plain else [F.col("source_type").desc(), F.col("doc_id").desc()]
     return top_k(scored, ["query_id"], [F.col("score").desc(), *ties], k).select(
         "query_id", "doc_key", F.lit("lexical").alias("channel"), "rank", "score")

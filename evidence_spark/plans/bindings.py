@@ -229,6 +229,18 @@ SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY
   CASE o_orderkey % 7 WHEN 0 THEN 'open' ELSE status END AS status, priority, created_at
 FROM orders JOIN tickets ON o_orderkey = _ord"""
 
+ROLE_SQL["customer_nodes"] = f"""
+SELECT c_custkey AS query_id, concat('Customer:cust_', {s('c_custkey')}) AS node_id FROM customer
+UNION ALL SELECT c_custkey, concat('Account:acct_', {s('c_nationkey')}) FROM customer
+UNION ALL SELECT o_custkey, concat('Ticket:tkt_', {s('o_orderkey')}) FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT user_id, concat('RiskEvent:risk_', {s('event_id')}) FROM events WHERE event_type IN ('error', 'purchase', 'signup')"""
+
+ROLE_SQL["graded_answers"] = f"""
+SELECT query_id, query AS answer, query_id % 4 AS source_count, CASE query_id % 5 WHEN 0 THEN 'no_documents' ELSE 'ok' END AS stage, query_id % 7 = 0 AS used_fallback,
+  CASE query_id % 3 WHEN 0 THEN 'tkt_|SLA  status' WHEN 1 THEN 'customer' ELSE '' END AS must_include, CASE query_id % 4 WHEN 3 THEN 'phone number' ELSE '' END AS must_not_include,
+  CASE query_id % 2 WHEN 0 THEN 'owns|policy|the' ELSE '' END AS completeness_points, CASE query_id % 5 WHEN 1 THEN 'Customer health and renewal risk summary' ELSE '' END AS reference_answer,
+  query_id % 3 AS minimum_source_count FROM questions"""
+
 ROLE_SQL["session_turns"] = f"""
 SELECT conv_id AS session_id, turn, role, CASE WHEN role = 'user' AND turn > 0 AND conv_id % 5 = 1 THEN 'Còn HTTPS thì sao?'
     WHEN role = 'user' AND turn > 0 AND conv_id % 5 = 2 THEN concat('Phần đó ', text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval_queries, support_queries  # noqa: F401
+from . import answer_queries, corpus_queries, retrieval_queries, support_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, oracle_text
 
 __all__ = ["QUERIES", "oracle_sql"]
