@@ -179,7 +179,7 @@ def _edge(src, dst, kind, step, props=None) -> Column:
 
 def rule_edges(step: int = 90) -> Column:
     """Edges from a ticket row to the policies its keyword rules name, as an array."""
-    return F.transform(policy_ids(ticket_haystack()), lambda p: _edge(
+    return F.transform(policy_ids(F.col("_hay")), lambda p: _edge(
         node_key("Ticket", "ticket_id"), F.concat(F.lit("Policy:"), p), "REFERENCES_POLICY", step,
         F.create_map(F.lit("reason"), F.lit("rule_based_ticket_context"))))
 
@@ -224,6 +224,8 @@ def build_edges(tables: dict[str, DataFrame], nodes: DataFrame, as_built: bool =
             _edge(tk, pol, "HAS_RESOLUTION", 91, full), _edge(tk, pol, "REFERENCES_POLICY", 92, rid),
             _edge(tk, iss, "RELATED_TO_ISSUE", 93, rid))],
     }
+    if "tickets" in tables:
+        tables = {**tables, "tickets": tables["tickets"].withColumn("_hay", ticket_haystack())}
     union = _edge_rows(tables, spec, TEAM_COLUMNS, extra)
     known = nodes.select("node_id")
     both_ends = (union.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi")

@@ -26,7 +26,7 @@ def ticket_flags(df: DataFrame) -> DataFrame:
     """Adds the activity and escalation predicates every ticket report relies on."""
     escalate = (one_of(_low("sla_status"), K.BAD_SLA) | (_low("status") == "pending_engineering")
                 | (_low("priority") == "p1"))
-    text = record_text(df.columns)
+    text = F.col("_text") if "_text" in df.columns else record_text(df.columns)
     return (df.withColumn("is_active", one_of(_low("status"), K.OPEN_STATUSES))
               .withColumn("is_critical", (_low("priority") == "p1") | (_low("severity") == "sev1")
                           | (_low("category") == "incident"))
@@ -47,8 +47,8 @@ def risk_flags(df: DataFrame) -> DataFrame:
 
 def signals(tickets: DataFrame, risks: DataFrame) -> DataFrame:
     """Tickets and risk events as one narrow stream of dated signals per customer."""
-    def common(df, source, entity, ts, title, summary):
-        text = record_text(df.columns)
+    def common(source, entity, ts, title, summary):
+        text = F.col("_text")
         return [sval("customer_id").alias("customer_id"), F.lit(source).alias("source_type"),
                 sval(entity).alias("entity_id"), sval(title).alias("title"),
                 sval(summary).alias("summary"), sval(ts).alias("created_at"),
@@ -57,13 +57,15 @@ def signals(tickets: DataFrame, risks: DataFrame) -> DataFrame:
                 contains_any(text, K.API_TERMS).alias("api"),
                 contains_any(text, K.REFUND_TERMS).alias("refund")]
 
+    tickets = tickets.withColumn("_text", record_text(tickets.columns))
+    risks = risks.withColumn("_text", record_text(risks.columns))
     t = ticket_flags(tickets).select(
-        *common(tickets, "ticket", "ticket_id", "created_at", "title", "description"),
+        *common("ticket", "ticket_id", "created_at", "title", "description"),
         F.greatest(instant("created_at"), instant("updated_at")).alias("seen_at"),
         F.col("is_critical").alias("critical"), F.col("is_escalation").alias("escalation"),
         F.col("is_negative").alias("negative"))
     r = risk_flags(risks).select(
-        *common(risks, "risk_event", "risk_event_id", "detected_at", "event_type", "summary"),
+        *common("risk_event", "risk_event_id", "detected_at", "event_type", "summary"),
         instant("detected_at").alias("seen_at"),
         F.lit(False).alias("critical"), F.col("is_escalation").alias("escalation"),
         F.col("is_negative").alias("negative"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.text import contains_any, nonblank, one_of, str_array, sval
+from ..functions.text import contains_any, nonblank, one_of, sval
 from .relational import lookup_join
 from .risk import risk_flags, ticket_flags
 
@@ -134,12 +134,15 @@ def ticket_haystack() -> Column:
 
 
 def policy_ids(haystack: Column, fallback: bool = False) -> Column:
-    """Ids of all keyword rules that hit a text, in rule order, as a row-local array."""
-    hits = F.array_compact(F.array(*[F.when(contains_any(haystack, words), pid)
-                                     for pid, words in K.POLICY_RULES]))
-    if not fallback:
-        return hits
-    return F.when(F.size(hits) > 0, hits).otherwise(str_array([K.FALLBACK_POLICY]))
+    """Ids of all keyword rules that hit a text, in rule order, as a row-local array.
+
+    Pass a plain column: the text is tested once per keyword.
+    """
+    hits = [F.when(contains_any(haystack, words), pid) for pid, words in K.POLICY_RULES]
+    if fallback:
+        every = [w for _, words in K.POLICY_RULES for w in words]
+        hits.append(F.when(~contains_any(haystack, dict.fromkeys(every)), K.FALLBACK_POLICY))
+    return F.array_compact(F.array(*hits))
 
 
 def draft_replies(tickets, customers, products, services, messages, resolutions, policies,
@@ -150,8 +153,8 @@ def draft_replies(tickets, customers, products, services, messages, resolutions,
               .agg(F.max_by(sval("body"), F.struct("_ord", sval("body"))).alias("_said")))
     fixed = (resolutions.groupBy(sval("ticket_id").alias("_tk"))
              .agg(F.min_by(sval("customer_visible_response"), "_ord").alias("_fix")))
-    df = tickets.withColumn("_tk", sval("ticket_id")).withColumn(
-        "_pids", policy_ids(ticket_haystack(), fallback=True))
+    df = tickets.withColumn("_tk", sval("ticket_id")).withColumn("_hay", ticket_haystack()).withColumn(
+        "_pids", policy_ids(F.col("_hay"), fallback=True)).drop("_hay")
     df = lookup_join(df, customers, "customer_id", "customer_id", {"_who": "full_name"}, unique=unique)
     df = lookup_join(df, products, "product_id", "product_id",
                      {"_pk": "product_id", "_product": "product_name"}, unique=unique)

@@ -450,7 +450,8 @@ SHARED["rule_hits"] = " UNION ALL ".join(
 SELECT t.ticket_id, coalesce(string_agg(policy_id, '|' ORDER BY rn), 'pol_enterprise_support') AS policies FROM tickets t
 LEFT JOIN rule_hits h ON t.ticket_id = h.ticket_id GROUP BY t.ticket_id""")
 def _(r):
-    return r["tickets"].select("ticket_id", joined(S.policy_ids(S.ticket_haystack(), fallback=True)).alias("policies"))
+    return r["tickets"].withColumn("_hay", S.ticket_haystack()).select(
+        "ticket_id", joined(S.policy_ids(F.col("_hay"), fallback=True)).alias("policies"))
 
 
 @query("draft_replies", """
