@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .. import constants as K
 from ..functions.text import BLANKS, strip, sval
@@ -102,7 +102,7 @@ def read_markdown_corpus(spark: SparkSession, glob: str, root: str = "", ids: di
     whole file.
     """
     _need(spark, glob)
-    raw = spark.read.option("wholetext", True).text(glob).withColumn("_file", F.col("_metadata.file_path"))
+    raw = spark.read.text(glob, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
     name = F.substring_index("_file", "/", -1)
     stem = F.regexp_replace(name, "\\.md$", "")
     fields, body = front_matter()
@@ -122,7 +122,12 @@ def read_markdown_corpus(spark: SparkSession, glob: str, root: str = "", ids: di
     return out.withColumn("_ord", F.abs(F.xxhash64("path")))
 
 
-ISSUE_SCHEMA = StructType.fromDDL(
+def _schema(text: str) -> StructType:
+    types = {"string": StringType(), "long": LongType(), "int": IntegerType(), "array<string>": ArrayType(StringType())}
+    return StructType([StructField(*(lambda n, t: (n, types[t]))(*part.split())) for part in text.split(", ")])
+
+
+ISSUE_SCHEMA = _schema(
     "issue_id string, repo string, number long, title string, body string, state string, labels array<string>, service_id string, "
     "product_id string, linked_ticket_ids array<string>, severity string, created_at string, updated_at string, closed_at string, "
     "assignee_team string, resolution_summary string")
@@ -152,7 +157,7 @@ def load_domain(spark: SparkSession, name: str, root: str, views: bool = False)
     return tables
 
 
-NODE_SCHEMA = StructType.fromDDL(
+NODE_SCHEMA = _schema(
     "doc_id string, origin_doc_id string, parent_id string, parent_index int, parent_level string, node_type string, leaf_id string, "
     "chunk_id string, chunk_index int, start_index int, source string, source_type string, title string, path string, url string, "
     "h1 string, h2 string, h3 string, h4 string, text string")
