@@ -157,7 +157,8 @@ def build_nodes(tables: dict[str, DataFrame], spec=SUPPORT_NODES, teams=TEAM_COL
                 at = F.struct(F.lit(team_step).alias("step"), F.col("_ord").cast("long").alias("ord"))
                 found.append(F.when(name != "", _node(team_key(owner), "Team", name, F.concat(F.lit("Team "), name),
                                                       F.create_map(F.lit("team_name"), name), at)))
-        parts.append(df.select(F.explode(F.array_compact(F.array(*found))).alias("_n")).select("_n.*"))
+        # the outer form keeps Spark from building the array a second time in a filter
+        parts.append(df.select(F.explode_outer(F.array_compact(F.array(*found))).alias("_n")).where("_n IS NOT NULL").select("_n.*"))
     union = reduce(DataFrame.unionByName, parts)
     # maps cannot be compared, so the row travels as a struct beside its order
     row = F.struct("node_type", "label", "text", "properties")
@@ -201,7 +202,7 @@ def _edge_rows(tables: dict[str, DataFrame], spec, teams, extra: dict[str, list[
         arrays = ([F.array(*found)] if found else []) + extra.get(table, [])
         if arrays:
             every = F.array_compact(F.concat(*arrays))
-            parts.append(df.select(F.explode(every).alias("_e")).select("_e.*"))
+            parts.append(df.select(F.explode_outer(every).alias("_e")).where("_e IS NOT NULL").select("_e.*"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -162,7 +162,7 @@ def draft_replies(tickets, customers, products, services, messages, resolutions,
                      {"_sk": "service_id", "_service": "service_name"}, unique=unique)
     flags = triage_tickets(tickets).select(sval("ticket_id").alias("_tk"),
                                            F.col("escalation_required").alias("_esc"))
-    titles = (df.select("_tk", F.posexplode("_pids").alias("_p", "_pid"))
+    titles = (df.select("_tk", F.posexplode_outer("_pids").alias("_p", "_pid"))
               .join(policies.select(sval("policy_id").alias("_pid"), sval("title").alias("_t")), "_pid")
               .groupBy("_tk").agg(F.array_sort(F.collect_list(F.struct("_p", "_pid", "_t"))).alias("_pol")))
     df = (df.join(latest, "_tk", "left").join(fixed, "_tk", "left").join(flags, "_tk")
