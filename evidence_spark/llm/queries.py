@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .pivot_topk import exact_topk
 from .url_filter import judge_urls
+from .vector_dedup import vector_duplicates
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,3 +48,38 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL under the fixed rule list."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+VECTOR_DEDUP_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND list_dot_product(e, e) > 0 AND NOT isnan(list_dot_product(e, e)) AND NOT isinf(list_dot_product(e, e))),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.98),
+reach(node, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT node, b FROM reach JOIN links ON other = a),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp ON vec_id = node LEFT JOIN deg ON vec_id = a
+"""
+
+
+@query("op1_vector_duplicates", VECTOR_DEDUP_SQL)
+def op1_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and survivors among all embeddings."""
+    return vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op4_exact_topk", TOPK_SQL)
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector against all others."""
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
