@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .jaccard_join import jaccard_components
 from .pivot_topk import exact_topk
 from .url_filter import judge_urls
 from .vector_dedup import vector_duplicates
@@ -83,3 +84,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest integer inner products of every fiftieth vector against all others."""
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM t, range(1, greatest(len(w) - 4, 1) + 1) r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 75 * (p.n + q.n - i)),
+reach(node, other) AS (SELECT doc_id, doc_id FROM t UNION SELECT node, b FROM reach JOIN links ON other = a)
+SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n ON doc_id = node GROUP BY node
+"""
+
+
+@query("op8_jaccard_components", JACCARD_SQL)
+def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a similarity of their five-word shingles of 0.75 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
