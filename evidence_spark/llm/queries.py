@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import decode_documents, encode_documents
 from .common import table
 from .jaccard_join import jaccard_components
 from .pivot_topk import exact_topk
@@ -102,3 +104,12 @@ SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS co
 def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a similarity of their five-word shingles of 0.75 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op6_bpe_round_trip")
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the public byte-level vocabulary, and the text they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
