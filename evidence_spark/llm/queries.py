@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import decode_documents, encode_documents
 from .common import table
 from .jaccard_join import jaccard_components
+from .packing import pack_documents
 from .pivot_topk import exact_topk
 from .url_filter import judge_urls
 from .vector_dedup import vector_duplicates
@@ -113,3 +114,9 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
     return decoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op3_nnls_packing")
+def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 ids."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
