@@ -10,6 +10,7 @@ from .common import table
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .pivot_topk import exact_topk
+from .toxicity import score_toxicity
 from .url_filter import judge_urls
 from .vector_dedup import vector_duplicates
 
@@ -120,3 +121,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 ids."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_crf_toxicity")
+def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(documents, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
