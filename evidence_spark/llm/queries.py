@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import decode_documents, encode_documents
 from .common import table
+from .html_extract import extract_pages
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .pivot_topk import exact_topk
@@ -129,3 +130,9 @@ def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(documents, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op10_html_main_text")
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
