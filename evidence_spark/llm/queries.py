@@ -9,6 +9,7 @@ from .bpe import decode_documents, encode_documents
 from .common import table
 from .html_extract import extract_pages
 from .jaccard_join import jaccard_components
+from .line_dedup import remove_repeats
 from .packing import pack_documents
 from .pivot_topk import exact_topk
 from .toxicity import score_toxicity
@@ -136,3 +137,9 @@ def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier document has."""
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
