@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import decode_documents, encode_documents
-from .common import table
+from .common import shared_folder, store, table
 from .html_extract import extract_pages
 from .jaccard_join import jaccard_components
 from .line_dedup import remove_repeats
 from .packing import pack_documents
 from .pivot_topk import exact_topk
+from .token_rollup import TokenRollup, counted
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
 from .vector_dedup import vector_duplicates
@@ -143,3 +146,37 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier document has."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
+
+
+ROLLUP_SQL = r"""
+WITH l AS (SELECT doc_id, max(toxic) = 1 AS gone, min(quality) = 0 AS redo FROM labels GROUP BY doc_id),
+d AS (SELECT source, lang, coalesce(redo, false) AS redo, coalesce(text, '') AS t FROM documents LEFT JOIN l USING (doc_id) WHERE NOT coalesce(gone, false)),
+c AS (SELECT source, lang, CASE WHEN redo THEN 'pieces@2' ELSE 'words@1' END AS tokenizer,
+  CASE WHEN redo THEN len(regexp_extract_all(t, '[0-9A-Za-zÀ-ÖØ-öø-ÿ]+|[^\x20\x09-\x0D0-9A-Za-zÀ-ÖØ-öø-ÿ]')) ELSE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) END AS n FROM d)
+SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM c GROUP BY source, lang, tokenizer
+"""
+
+
+@query("op5_token_rollup", ROLLUP_SQL)
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after inserting all documents, deleting those labelled toxic and recounting those of low quality.
+
+    The second batch is committed twice and the first one again after compaction; neither replay changes the totals.
+    """
+    counts = store(counted(table(spark, sf_dir, "documents"), "words@1", "pieces@2"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("gone"), (F.min("quality") == 0).alias("redo"))
+
+    def image(version: str):
+        return F.struct("source", "lang", F.lit(version).alias("tokenizer"), F.col("tokens")[version].alias("n_tokens"))
+
+    inserts = counts.select(F.lit(None).cast("struct<source:string,lang:string,tokenizer:string,n_tokens:bigint>").alias("before"), image("words@1").alias("after"))
+    labelled = counts.join(labels, "doc_id")
+    gone = F.coalesce("gone", F.lit(False))
+    changed = labelled.where(gone | F.col("redo")).select(image("words@1").alias("before"), F.when(~gone, image("pieces@2")).alias("after"))
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit(0, inserts)
+    rollup.commit(1, changed)
+    rollup.commit(1, changed)
+    rollup.compact()
+    rollup.commit(0, inserts)
+    return rollup.totals()
