@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .fast_bpe import Encoder, decoder, encoder
+from .fast_bpe import Encoder, decoder, encoder, small_batches
 
 LEAF = 32_768  # characters of a leaf; shorter texts are encoded whole
 REACH = 2_048  # characters after a leaf's end that are searched for white space
@@ -117,7 +117,7 @@ def join_tree(enc: Encoder, text: str, parts: list[Part]) -> np.ndarray:
 
 def _frame(pdf: pd.DataFrame, path: str) -> bytes:
     """Ids of one document from its leaves."""
-    enc, ids, run, text, base = encoder(path, "byte"), [], [], "", 0
+    enc, ids, run, text = encoder(path, "byte"), [], [], ""
     for row in pdf.itertuples():
         if not run and not row.hard:
             ids.append(np.frombuffer(row.ids, "<u4"))
@@ -146,15 +146,15 @@ def encode_documents(documents: DataFrame, path: str, id_col: str = "doc_id", te
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "byte")
-        for batch in batches:
-            ids = [np.array(enc.ids(t), "<u4").tobytes() for t in batch.column("text").to_pylist()]
+        for batch in small_batches(batches):
+            ids = [enc.raw(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                spans, run, hard_before, n = leaves(text, leaf), -1, False, 0
-                for k, (a, b, hard) in enumerate(spans):
+                hard_before = False
+                for k, (a, b, hard) in enumerate(leaves(text, leaf)):
                     yield pd.DataFrame({"doc_id": [doc], "mark": [hash_text(text)], "leaf": [k], "hard": [hard], "joined": [hard or hard_before], "text": [text[a:b]]})
                     hard_before = hard
 
@@ -169,7 +169,7 @@ def encode_documents(documents: DataFrame, path: str, id_col: str = "doc_id", te
                     spans.append(sp.astype("<i8").tobytes())
                     begins.append(bg.tobytes())
                 else:
-                    ids.append(np.array(enc.ids(text), "<u4").tobytes())
+                    ids.append(enc.raw(text))
                     spans.append(b"")
                     begins.append(b"")
             yield pdf.assign(ids=ids, spans=spans, begins=begins, text=[t if j else "" for t, j in zip(pdf["text"], pdf["joined"])])[LEAVES]
@@ -198,8 +198,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``text`` to rows with ``ids``, as the library's decode(ids, skip_special_tokens=False); null ids count as none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = decoder(path)
-        for batch in batches:
-            texts = [dec.text(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist()]
+        for batch in small_batches(batches):
+            texts = [dec.text(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes if n != "text")

@@ -9,11 +9,10 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000  # pre-tokens a worker remembers; a full cache starts afresh
+CACHE_ENTRIES = 200_000  # pre-tokens a worker remembers; a full cache starts afresh
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*\Z")
@@ -34,21 +33,24 @@ class Encoder:
         self.library.no_padding()
         self.kind, self.pattern, self.cache = kind, _PRETOKENS[kind], {}
 
-    def ids(self, text: str) -> list[int]:
-        """Ids as the library gives them with add_special_tokens=False."""
+    def raw(self, text: str) -> bytes:
+        """Ids as the library gives them with add_special_tokens=False, as little-endian unsigned 32-bit integers."""
         if "<|" in text or not _PLAIN.match(text):
-            return self.library.encode(text, add_special_tokens=False).ids
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         found = self.pattern.findall(text.lower() if self.kind == "word" else text)
         cache = self.cache
         try:
-            return list(chain.from_iterable([cache[x] for x in found]))
+            return b"".join([cache[x] for x in found])
         except KeyError:
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
             fresh = list({x for x in found if x not in cache})
             for x, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-                cache[x] = e.ids
-            return list(chain.from_iterable([cache[x] for x in found]))
+                cache[x] = np.array(e.ids, "<u4").tobytes()
+            return b"".join([cache[x] for x in found])
+
+    def ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.raw(text), "<u4").tolist()
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, character ends and word starts of a text's tokens."""
@@ -61,6 +63,13 @@ class Encoder:
         return ids, spans, begins
 
 
+def small_batches(batches, rows: int = 512):
+    """Arrow batches cut into runs of few rows, so that a worker holds few texts as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> Encoder:
     """One encoder for each file and worker process."""
@@ -78,7 +87,8 @@ class Decoder:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.pieces = {i: bytes(byte[c] for c in t) for t, i in vocabulary.items() if all(c in byte for c in t)}
 
-    def text(self, ids: list[int]) -> str:
+    def text(self, raw: bytes) -> str:
+        ids = np.frombuffer(raw, "<u4").tolist()
         try:
             return b"".join([self.pieces[i] for i in ids]).decode("utf-8")
         except (KeyError, UnicodeDecodeError):

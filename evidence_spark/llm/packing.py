@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import store
-from .fast_bpe import encoder
+from .fast_bpe import encoder, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -141,15 +141,16 @@ def seats(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 def token_pieces(documents: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """Pieces of every document's ids with a mark of the task that made them and their rank there among equal lengths."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = int(end_id).to_bytes(4, "little")
         enc, block, ranks = encoder(path, "word"), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             cols: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*enc.ids(text or ""), end_id], "<u4")
-                raw = memoryview(ids.tobytes())
-                for at in range(0, len(ids), window):
-                    size = min(window, len(ids) - at)
-                    for col, x in zip(cols, (doc, at, size, zlib.crc32(raw[4 * at:4 * (at + size)]), len(ids), int(ranks[size]))):
+                raw = memoryview(enc.raw(text or "") + end)
+                count = len(raw) // 4
+                for at in range(0, count, window):
+                    size = min(window, count - at)
+                    for col, x in zip(cols, (doc, at, size, zlib.crc32(raw[4 * at:4 * (at + size)]), count, int(ranks[size]))):
                         col.append(x)
                     ranks[size] += 1
             arrays = [pa.array(c, pa.int64()) for c in cols]

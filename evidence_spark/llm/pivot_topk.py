@@ -81,7 +81,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
 
     A component x becomes floor(256 * x). Candidates of a query are all rows with another id; fewer than k give all.
     Vectors that are null or hold null or non-finite components, and rows with a null id, take no part; vectors are
-    compared with those of their own length only. Repeated rows of an id are candidates each. An empty table, or one
+    compared with those of their own length only. Repeated rows of an id are candidates each;
+    as a query an id is asked once, with its smallest vector. An empty table, or one
     without queries, gives no rows. Scores are 64-bit.
 
     Queries and candidates meet in blocks of fixed size spread by hash, so equal vectors can't crowd one task; a block
@@ -100,7 +101,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
         spots = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
         cand = own.withColumn("cb", F.pmod(F.xxhash64("vid", "vec"), F.lit(blocks)).cast("int")).select(
             "vid", "vec", "cb", F.explode(spots(qblocks)).alias("qb"))
-        ask = own.where("isq").withColumn("qb", F.pmod(F.xxhash64("vid"), F.lit(qblocks)).cast("int")).select(
+        ask = own.where("isq").groupBy("vid").agg(F.min("vec").alias("vec")).withColumn("qb", F.pmod(F.xxhash64("vid"), F.lit(qblocks)).cast("int")).select(
             "vid", "vec", F.explode(spots(blocks)).alias("cb"), "qb")
 
         def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
