@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.text import contains_any, entity_ids, one_of, squeeze, str_array, strip, tokens
-from .relational import running_last
+from ..streaming.sessions import clean_turns
+from .relational import ordinal, running_last
 
 
 # -- keyword analysis -----------------------------------------------------------------
@@ -216,16 +217,18 @@ def rewrite_question(question: Column, previous: Column) -> Column:
 def rewrite_follow_ups(turns: DataFrame, history: int = 6) -> DataFrame:
     """(session, turn, question, effective_question, used_history) for every user turn.
 
-    Turn numbers are consecutive inside a session; a user message further back than the
-    kept history does not count.
+    The history is the last ``history`` turns that have a text, however they are numbered. A
+    blank user turn has no question to rewrite and counts for nothing.
     """
-    said = F.when((F.col("role") == "user") & (strip("content") != ""),
-                  F.struct(F.col("turn"), strip("content").alias("text")))
-    df = running_last(turns, ["session_id"], "turn", said, "_p")
-    near = F.when(F.col("_p.turn") >= F.col("turn") - history, F.col("_p.text"))
-    asked = strip(F.coalesce("content", F.lit("")))
-    df = df.where("role = 'user'").withColumn("question", asked).withColumn("previous", F.coalesce(near, F.lit("")))
-    has_history = F.col("turn") > 0
+    kept = ordinal(clean_turns(turns), ["session_id"], [F.floor(F.col("turn") / 65536)], ["turn"], "_n")
+    said = F.when(F.col("role") == "user", F.struct(F.col("_n").alias("n"), F.col("content").alias("text")))
+    df = running_last(kept, ["session_id"], "_n", said, "_p")
+    near = F.when(F.col("_p.n") >= F.col("_n") - history, F.col("_p.text"))
+    df = df.where("role = 'user'").withColumn("question", F.col("content")).withColumn("previous", F.coalesce(near, F.lit("")))
+    blank = turns.where("session_id IS NOT NULL").where(strip("role") == "user").where(strip(F.coalesce("content", F.lit(""))) == "")
+    blank = blank.select("session_id", "turn", F.lit("").alias("question"), F.lit("").alias("previous"), F.lit(1).cast("long").alias("_n"))
+    df = df.select("session_id", "turn", "question", "previous", "_n").unionByName(blank)
+    has_history = F.col("_n") > 1
     effective = F.when(has_history & is_follow_up(F.col("question")),
                        rewrite_question(F.col("question"), F.col("previous"))).otherwise(F.col("question"))
     return df.select("session_id", "turn", "question", effective.alias("effective_question"),

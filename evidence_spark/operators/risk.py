@@ -267,7 +267,7 @@ def grow_forest(features: DataFrame, n_trees: int = 100, sample: int = 256, seed
              .withColumn("_draw", draw(F.col("tree"))))
     picked = top_k(drawn, ["tree"], [F.col("_draw"), F.col("customer_id")], sample, "_r")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         points = pdf.sort_values("customer_id")[K.FEATURES].to_numpy(dtype=float)
         rows = _grow_tree(int(key[0]), points, seed)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TREE_SCHEMA.split(", ")])

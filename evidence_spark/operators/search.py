@@ -212,32 +212,43 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | N
 
 # -- dense --------------------------------------------------------------------------
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
+DOC_BLOCK = 8192
 
 
 def dense_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | None = None,
-                 block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact cosine top-k. The documents are scanned in place and never shuffled.
+                 query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
+    """Exact cosine top-k of every question over all documents.
 
-    Queries are cut into blocks of about ``block`` rows by hash. Each block is checked and
-    broadcast as one matrix; more queries mean more scans, not a larger broadcast. A task
-    keeps k rows per query and Spark merges these short lists.
+    Questions and documents are dealt by hash into blocks of about these sizes, and every
+    pair of blocks is one matrix product in a task. Nothing passes the driver but two
+    counts. A pair gives k rows per question, which Spark's rank limit merges.
     """
-    spark = docs.sparkSession
-    docs = filter_metadata(docs, filters).select("doc_key", "embedding")
-    total = queries.count()
-    n_blocks = max(1, -(-total // block))
-    parts = []
-    for i in range(n_blocks):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) if n_blocks > 1 else queries
-        rows = mine.select("query_id", "embedding").limit(4 * block + 1).toPandas()
-        if len(rows) > 4 * block:
-            raise ValueError("query block larger than expected; lower the block size")
-        if len(rows):
-            parts.append(_dense_block(spark, rows, queries.schema["query_id"].dataType, docs, k))
-    if not parts:
-        return spark.createDataFrame([], "query_id string, doc_key string, channel string, rank int, score double")
-    short = reduce(DataFrame.unionByName, parts)
+    docs = filter_metadata(docs, filters).select("doc_key", F.col("embedding").alias("_d"))
+    asked = queries.select("query_id", F.col("embedding").alias("_v"))
+    n_q, n_d = max(1, -(-asked.count() // query_block)), max(1, -(-docs.count() // doc_block))
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "doc_key": [], "score": []})
+        q, m = (_unit(np.vstack(x.to_numpy()).astype(float)) for x in (left["_v"], right["_d"]))
+        sims = q @ m.T
+        keep = np.ones_like(sims, dtype=bool)
+        if sims.shape[1] > k:
+            kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
+            keep = sims >= kth
+        qi, di = np.nonzero(keep)
+        part = pd.DataFrame({"_q": qi, "doc_key": right["doc_key"].to_numpy()[di], "score": sims[qi, di]})
+        part = part.sort_values(["_q", "score", "doc_key"], ascending=[True, False, True]).groupby("_q", sort=False).head(k)
+        return part.assign(query_id=left["query_id"].to_numpy()[part["_q"]])[["query_id", "doc_key", "score"]]
+
+    types = f"query_id {dict(asked.dtypes)['query_id']}, doc_key {dict(docs.dtypes)['doc_key']}, score double"
+    short = dealt(asked, "query_id", "_qb", n_q, "_db", n_d).groupBy("_qb", "_db").cogroup(
+        dealt(docs, "doc_key", "_db", n_d, "_qb", n_q).groupBy("_qb", "_db")).applyInPandas(search, types)
     return top_k(short, ["query_id"], [F.col("score").desc(), F.col("doc_key").asc()], k).select(
         "query_id", "doc_key", F.lit("dense").alias("channel"), "rank", "score")
 
@@ -247,34 +258,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _dense_block(spark, rows: pd.DataFrame, id_type, docs: DataFrame, k: int) -> DataFrame:
-    held = spark.sparkContext.broadcast(
-        (rows["query_id"].to_numpy(), _unit(np.vstack(rows["embedding"].to_numpy()).astype(float))))
-
-    def scan(batches):
-        ids, q = held.value
-        best = None
-        for pdf in batches:
-            m = _unit(np.vstack(pdf["embedding"].to_numpy()).astype(float))
-            sims = q @ m.T
-            keys = pdf["doc_key"].to_numpy()
-            keep = np.ones_like(sims, dtype=bool)
-            if sims.shape[1] > k:
-                kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
-                keep = sims >= kth
-            qi, di = np.nonzero(keep)
-            part = pd.DataFrame({"_q": qi, "doc_key": keys[di], "score": sims[qi, di]})
-            best = part if best is None else pd.concat([best, part])
-            best = (best.sort_values(["_q", "score", "doc_key"], ascending=[True, False, True])
-                    .groupby("_q", sort=False).head(k))
-        if best is not None and len(best):
-            yield pd.DataFrame({"query_id": ids[best["_q"].to_numpy()], "doc_key": best["doc_key"].to_numpy(),
-                                "score": best["score"].to_numpy()})
-
-    key_type = docs.schema["doc_key"].dataType.simpleString()
-    return docs.mapInPandas(scan, f"query_id {id_type.simpleString()}, doc_key {key_type}, score double")
-
-
 # -- fusion -------------------------------------------------------------------------
 
 def sparse_or_lexical(sparse: DataFrame, lexical: DataFrame) -> DataFrame:

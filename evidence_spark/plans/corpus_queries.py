@@ -218,12 +218,13 @@ _CMP = "(?i)^(thế\\s+còn|vậy\\s+còn|còn)\\s+(.+?)\\s+thì\\s+sao\\??$"
 _MARK = " OR ".join(f"contains(ql, '{m}')" for m in K.FOLLOW_UP_MARKERS)
 _PRE = " OR ".join(f"starts_with(ql, '{m}')" for m in K.FOLLOW_UP_PREFIXES)
 SHARED["fu0"] = f"""
-SELECT session_id, turn, role, trim(content, {W}) AS question, {_N.format('content')} AS qn, lower({_N.format('content')}) AS ql,
-  last_value(CASE WHEN role = 'user' AND trim(content, {W}) <> '' THEN {{'t': turn, 'x': {_N.format('content')}}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM session_turns"""
+SELECT session_id, turn, role, n, trim(content, {W}) AS question, {_N.format('content')} AS qn, lower({_N.format('content')}) AS ql,
+  last_value(CASE WHEN role = 'user' AND trim(content, {W}) <> '' THEN {{'t': n, 'x': {_N.format('content')}}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
+FROM (SELECT *, 1 + count(*) FILTER (WHERE trim(content, {W}) <> '') OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM session_turns)"""
 SHARED["fu1"] = f"""
-SELECT *, CASE WHEN p.t >= turn - 6 THEN p.x ELSE '' END AS prev, ql <> '' AND (regexp_matches(ql, '{_CMP}') OR {_PRE} OR {_MARK} OR suffix(ql, 'thì sao?') OR suffix(ql, 'được không?')) AS fu FROM fu0 WHERE role = 'user'"""
+SELECT *, CASE WHEN p.t >= n - 6 THEN p.x ELSE '' END AS prev, ql <> '' AND (regexp_matches(ql, '{_CMP}') OR {_PRE} OR {_MARK} OR suffix(ql, 'thì sao?') OR suffix(ql, 'được không?')) AS fu FROM fu0 WHERE role = 'user'"""
 SHARED["fu2"] = f"""
-SELECT *, CASE WHEN turn = 0 OR NOT fu THEN question WHEN coalesce(prev, '') = '' OR lower(prev) = ql THEN qn
+SELECT *, CASE WHEN n = 1 OR NOT fu THEN question WHEN coalesce(prev, '') = '' OR lower(prev) = ql THEN qn
   WHEN regexp_matches(qn, '{_CMP}') THEN concat(regexp_replace(prev, '[ ?.]+$', ''), ' — trường hợp ', regexp_extract(qn, '{_CMP}', 2), ' thì làm như thế nào?')
   WHEN {_MARK} THEN concat('Trong ngữ cảnh ''', prev, ''', hãy trả lời câu hỏi sau một cách cụ thể: ', qn) ELSE concat(prev, '. Câu hỏi tiếp theo liên quan: ', qn) END AS eff FROM fu1"""
 

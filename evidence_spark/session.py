@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import SparkSession, functions as F
 
 # Settings that are safe on any cluster: nothing here pins a machine-local path.
@@ -29,14 +28,20 @@ def get_spark(app: str = "evidence_spark", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_scratch: list[tempfile.TemporaryDirectory] = []  # of a local session; a cluster names its own folder
+
+
 def local_spark(cpus: int | None = None) -> SparkSession:
     """Single-machine session for tests and bench.py."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+    if not _scratch:
+        _scratch.append(tempfile.TemporaryDirectory(prefix="evidence-store-"))
     spark = get_spark(
         master=f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": _scratch[0].name,
             "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
             "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
             "spark.sql.streaming.stateStore.providerClass":
@@ -53,43 +58,42 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_scratch: list[tempfile.TemporaryDirectory] = []
+def _store_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the session's warehouse folder where it is unset.
 
-
-def _store_folder(spark: SparkSession) -> str | None:
-    """The shared folder for stored results, or None when the cluster names none."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        if not _scratch:
-            _scratch.append(tempfile.TemporaryDirectory(prefix="evidence-store-"))
-        folder = _scratch[0].name
-    return folder
+    Both are shared by the driver and all executors.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored"
+    return folder.rstrip("/")
 
 
 def materialise(df):
-    """Store a result as a table and return the table, cutting the lineage.
+    """Store a result as a table in the shared folder and return the table, cutting the lineage.
 
-    Later stages read only the columns they need and see real sizes. The folder is the one
-    the cluster names in ``spark.checkpoint.dir``; a local session without one gets a
-    scratch folder. A cluster without one falls back to recomputable caching, because a
-    machine-local folder would not survive a lost executor.
+    Later stages read only the columns they need and see real sizes, and a lost executor
+    costs no recomputation. It works alike on every master.
     """
     spark = df.sparkSession
-    folder = _store_folder(spark)
-    if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{_store_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20  # of the stored files, columns compressed
+
+
+def stored_bytes(df) -> int:
+    """Bytes of the files behind a stored table."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
 
 
-def small_side(df, max_rows: int = BROADCAST_ROWS):
-    """A stored copy that is broadcast only when its counted size allows it.
+def small_side(df, max_bytes: int = BROADCAST_BYTES):
+    """A stored copy that is broadcast only when the size of its files allows it.
 
-    Beyond ``max_rows`` the plain table is returned and the join shuffles both sides.
+    Beyond ``max_bytes`` the plain table is returned and the join shuffles both sides.
     """
     stored = materialise(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    return F.broadcast(stored) if stored_bytes(stored) <= max_bytes else stored

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import slug, squeeze, strip, sval
+from ..operators.relational import ordinal
 
 LIST_FIELDS = {"expected_sources": "expected_source", "expected_documents": "expected_document",
                "expected_categories": "expected_category", "expected_answer_intents": "expected_answer_intent"}
@@ -27,19 +28,18 @@ def _as_list(df: DataFrame, *names: str) -> Column:
 def load_eval_cases(df: DataFrame, legacy: bool = False, order: str = "_ord") -> DataFrame:
     """Cases with list fields and a generated id where none is given.
 
-    Case files hold tens to thousands of rows, so the running number is one global order.
+    The running number follows ``order``, counted range by range.
     """
-    from pyspark.sql import Window as W
     df = df.withColumn("query", strip(F.coalesce("query", F.lit(""))))
     if legacy:
         df = df.where((F.col("query") != "") & ~F.col("query").startswith("#"))
-    number = F.row_number().over(W.orderBy(order))
+    df = ordinal(df.withColumn("_all", F.lit(1)), ["_all"], [F.floor(F.col(order) / 65536)], [order], "_n").drop("_all")
     text = F.when(slug("query") == "", "query").otherwise(slug("query"))
     padded = F.lpad(F.col("_n").cast("string"), 3, "0")
     padded = F.when(F.length(F.col("_n").cast("string")) > 3, F.col("_n").cast("string")).otherwise(padded)
     made = F.concat_ws("-", F.lit("legacy" if legacy else "case"), padded, text)
     given = [F.nullif(sval(c), F.lit("")) for c in ("id", "case_id", "query_id") if c in df.columns]
-    out = df.withColumn("_n", number).withColumn("case_id", F.coalesce(*given, made))
+    out = df.withColumn("case_id", F.coalesce(*given, made))
     for name, alias in LIST_FIELDS.items():
         out = out.withColumn(name, _as_list(df, name, alias))
     return out.drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import sval
 
@@ -39,25 +39,48 @@ def merge_ledger(ledger: DataFrame | None, batch: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def ledger_sink(path: str, ttl_days: int | None = None):
+def ledger_sink(path: str, ttl_days: int | None = None, keep: int = 2):
     """A foreachBatch function that keeps the ledger as versioned tables under ``path``.
 
-    A version is named after the batch that made it, so a replayed batch rewrites its own
-    version and starts again from the one before.
+    A batch starts from the newest complete version, whatever its own id, so a stream that
+    starts over with a new checkpoint goes on with the ledger it finds. Records at or before
+    the newest ``_ord`` that an action has applied are replays and change nothing. The
+    last ``keep`` versions stay.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v={batch_id - 1}"
-        ledger = spark.read.parquet(before) if batch_id > 0 and _exists(spark, before) else None
-        out = merge_ledger(ledger, batch)
+        done = _versions(spark, path)
+        stored = spark.read.parquet(f"{path}/v={done[-1]}") if done else None
+        if stored is not None:
+            seen = stored.select("action_id", F.col("last_ord").alias("_seen"))
+            batch = batch.join(seen, "action_id", "left").where("_seen IS NULL OR _ord > _seen").drop("_seen")
+        out = merge_ledger(None if stored is None else stored.drop("last_ord"), batch)
+        newest = batch.groupBy("action_id").agg(F.max("_ord").alias("last_ord"))
+        if stored is not None:
+            newest = newest.unionByName(stored.select("action_id", "last_ord")).groupBy("action_id").agg(F.max("last_ord").alias("last_ord"))
+        out = out.join(newest, "action_id", "left")
         if ttl_days is not None:
-            newest = out.agg(F.max(F.try_to_timestamp("updated_at")).alias("t")).scalar()
-            out = out.where(F.try_to_timestamp("updated_at") >= newest - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
-        out.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+            newest_save = out.agg(F.max(F.try_to_timestamp("updated_at")).alias("t")).scalar()
+            out = out.where(F.try_to_timestamp("updated_at") >= newest_save - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
+        out.write.mode("overwrite").parquet(f"{path}/v={done[-1] + 1 if done else 0}")
+        for version in done[:max(0, len(done) + 1 - keep)]:
+            _path(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={version}"), True)
 
     return write
 
 
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a stored ledger."""
+    done = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v={done[-1]}").drop("last_ord") if done else None
+
+
+def _path(spark, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the versions whose write was completed, oldest first."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = _path(spark, path).globStatus(pattern) or []
+    return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)

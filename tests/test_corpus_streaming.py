@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.redaction import redact, redact_text
-from evidence_spark.operators import chunking as C, corpus as CP, risk as RK
+from evidence_spark.operators import chunking as C, corpus as CP, questions as QN, risk as RK
 from evidence_spark.streaming import ledger as L, rollups as RU, sessions as SS
 
 
@@ -94,11 +94,36 @@ def test_ledger_batches_equal_one_log(spark, tmp_path):
     for i, part in enumerate([log[:2], log[2:]]):
         write(spark.createDataFrame(part, cols), i)
     write(spark.createDataFrame(log[2:], cols), 1)  # a replayed batch changes nothing
-    got = {(r["idempotency_key"], r["action_id"], r["status"], r["attempt_count"]) for r in spark.read.parquet(str(tmp_path / "led/v=1")).collect()}
+    got = {(r["idempotency_key"], r["action_id"], r["status"], r["attempt_count"]) for r in L.read_ledger(spark, str(tmp_path / "led")).collect()}
     want = {(r["idempotency_key"], r["action_id"], r["status"], r["attempt_count"]) for r in L.action_ledger(spark.createDataFrame(log, cols)).collect()}
     assert got == want == {("k1", "a1", "done", 2), ("k2", "a5", "pending", 1)}
 
 
+def test_ledger_survives_a_new_checkpoint(spark, tmp_path):
+    cols = "_ord long, idempotency_key string, action_id string, action_name string, reason string, status string, created_at string, updated_at string, last_error string"
+    path = str(tmp_path / "led")
+    for i in range(4):  # each stream starts over with batch id 0
+        L.ledger_sink(path)(spark.createDataFrame([(i, f"k{i}", f"a{i}", "open", "r", "pending", "t", "t", "")], cols), 0)
+    assert sorted(r["idempotency_key"] for r in L.read_ledger(spark, path).collect()) == ["k0", "k1", "k2", "k3"]
+    assert sorted(p.name for p in (tmp_path / "led").iterdir()) == ["v=2", "v=3"]
+
+
+def test_tag_dense_page(spark):
+    page = "<html><body>" + "<p></p>" * 100_000 + "text &amp; more<br><br/>end</body></html>"
+    df = spark.createDataFrame([(page,)], "html string")
+    title, text = CP.html_parts("html")
+    assert df.select(text.alias("t")).first()["t"] == "text & more\nend"
+
+
+def test_follow_ups_count_kept_turns(spark):
+    turns = [(1, 1, "user", "reset token?"), (1, 20, "user", "còn SSO thì sao?"), (2, 0, "user", "reset token?")]
+    turns += [(2, t, "assistant", " ") for t in range(1, 9)] + [(2, 9, "user", "còn SSO thì sao?"), (2, 10, "user", None)]
+    turns += [(3, 0, "user", "reset token?")] + [(3, t, "assistant", "x") for t in range(1, 8)] + [(3, 8, "user", "còn SSO thì sao?")]
+    got = {(r["session_id"], r["turn"]): r["used_history"] for r in QN.rewrite_follow_ups(
+        spark.createDataFrame(turns, "session_id long, turn long, role string, content string")).collect()}
+    assert got == {(1, 1): False, (1, 20): True, (2, 0): False, (2, 9): True, (2, 10): False, (3, 0): False, (3, 8): False}
+
+
 def test_windowed_rollup_stream_equals_batch(spark, tmp_path):
     rows = [(f"2024-01-01 0{h}:{m:02d}:00", "histogram", "lat", {"path": "/a", "blank": ""}, float(h * 10 + m), h * 100 + m) for h in range(3) for m in (5, 50)]
     df = spark.createDataFrame(rows, "ts string, kind string, name string, attributes map<string,string>, value double, _ord long").withColumn("ts", F.to_timestamp("ts"))
