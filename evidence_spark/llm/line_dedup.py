@@ -20,6 +20,7 @@ from .wordstream import Words, gram_hashes, text_chunks, words_of
 
 LINE = 26  # words of a hashed line
 MIN_WORDS = 50  # words of a run that is deleted
+BITMAP = 1 << 22  # bits of the fixed bitmaps that keep unmatched texts out of shuffles
 STRIDE = 64  # bounds of the passages fetched for comparison are multiples of this many words
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -39,11 +40,20 @@ def selected(words: Words, line: int, min_words: int) -> np.ndarray:
     for k in range(0, len(at), 1 << 16):
         part = at[k:k + (1 << 16)]
         picked[part + least[part].argmin(axis=1)] = True
-    # in a stretch of equal hashes one of every window is enough
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (words.row[1:len(h)] != words.row[:len(h) - 1])
-    run = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-    return np.flatnonzero(picked & ((np.arange(len(h)) - run) % width == 0))
+    spots = np.flatnonzero(picked)
+    # periodic text repeats its smallest hash: of such a chain each window keeps one, the last that it reaches
+    chain = (h[spots[1:]] == h[spots[:-1]]) & (spots[1:] - spots[:-1] <= width) & (words.row[spots[1:]] == words.row[spots[:-1]])
+    if not chain.any():
+        return spots
+    keep = np.ones(len(spots), bool)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], chain, [False]]).astype(np.int8)))
+    for first, last in zip(edge[::2], edge[1::2]):
+        at = first
+        while at < last:
+            reach = min(last, int(np.searchsorted(spots, spots[at] + width, side="right")) - 1)
+            keep[at + 1:reach] = False
+            at = reach
+    return spots[keep]
 
 
 def fingerprints(documents: DataFrame, line: int, min_words: int) -> DataFrame:
@@ -136,6 +146,23 @@ def _without_runs(text: str, found: list[dict], min_words: int) -> tuple[str, in
     return b"".join(parts).decode("utf-8"), int(gone.sum())
 
 
+def bitmap(ids: DataFrame) -> DataFrame:
+    """(_word, _bits): a bitmap of ``BITMAP`` bits with those set that the ids hash to; at most BITMAP / 64 rows."""
+    slots = ids.toDF("id").select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("slot"))
+    return slots.groupBy((F.col("slot") / 64).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits"))
+
+
+def likely(documents: DataFrame, bits: DataFrame, wanted: bool) -> DataFrame:
+    """Documents whose id's bit is set, or those whose bit isn't.
+
+    It spares most texts a shuffle; the join that follows decides. A bitmap that is full lets every document through.
+    """
+    marked = documents.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))).withColumn("_word", (F.col("_slot") / 64).cast("int"))
+    marked = marked.join(F.broadcast(bits), "_word", "left")  # a fixed number of rows
+    hit = F.coalesce(F.expr("shiftright(_bits, cast(_slot % 64 as int)) & 1 = 1"), F.lit(False))
+    return marked.where(hit if wanted else ~hit).select(*documents.columns)
+
+
 def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int = LINE) -> DataFrame:
     """``documents`` with repeated runs deleted from ``text``, and ``n_removed``, the number of words deleted.
 
@@ -157,10 +184,12 @@ def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int =
     hi = (F.ceil((F.col("b") + line + min_words) / STRIDE) * STRIDE).cast("int")
     matches = store(matches.select("doc_id", "f_doc", "shift", lo.alias("lo"), hi.alias("hi")))
     wanted = matches.select("f_doc", "lo", "hi").distinct()
-    sources = rows.select(F.col("doc_id").alias("f_doc"), "text").join(wanted, "f_doc").select("f_doc", "lo", "hi", "text")
+    sources = likely(rows.select("doc_id", "text"), store(bitmap(matches.select("f_doc"))), True).select(F.col("doc_id").alias("f_doc"), "text").join(wanted, "f_doc").select("f_doc", "lo", "hi", "text")
     passages = store(sources.mapInArrow(_passages, "f_doc long, lo int, hi int, passage string"))
     found = matches.join(passages, ["f_doc", "lo", "hi"]).groupBy("doc_id").agg(
         F.collect_list(F.struct("shift", "lo", "passage")).alias("found"))  # a document's own length bounds what it can match
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    out = rows.join(found, "doc_id", "left").select(*names, "found")
-    return out.mapInArrow(lambda batches: _delete(batches, min_words), f"{fields}, n_removed long")
+    bits = store(bitmap(matches.select("doc_id")))
+    out = likely(rows, bits, True).join(found, "doc_id", "left").select(*names, "found")
+    out = out.mapInArrow(lambda batches: _delete(batches, min_words), f"{fields}, n_removed long")
+    return out.unionByName(likely(rows, bits, False).withColumn("n_removed", F.lit(0).cast("long")))
