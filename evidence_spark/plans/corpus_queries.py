@@ -270,9 +270,26 @@ def _(r):
                     F.round("avg_ms", 6).alias("avg_ms"), "max_ms")
 
 
-@query("risk_sliding", """
-SELECT strftime(d, '%Y-%m-%d') AS window_start, customer_id, count(*) FILTER (source_type = 'ticket') AS tickets, count(*) FILTER (critical) AS critical, count(*) FILTER (escalation) AS escalation,
-  count(*) FILTER (negative) AS negative FROM (SELECT *, date_trunc('day', at_) - to_days(CAST(unnest(range(0, 7)) AS INTEGER)) AS d FROM signals) GROUP BY 1, 2""")
+_COUNTERS = ["critical", "escalation", "login", "api", "refund", "negative"]
+
+
+def _sliding_sql(days: int) -> str:
+    flags = ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in _COUNTERS)
+    return f"""
+SELECT strftime(d, '%Y-%m-%d') AS window_start, customer_id, count(*) FILTER (source_type = 'ticket') AS tickets, {flags}
+FROM (SELECT *, date_trunc('day', at_) - to_days(CAST(unnest(range(0, {days})) AS INTEGER)) AS d FROM signals) GROUP BY 1, 2"""
+
+
+def _sliding(r, days: int):
+    s = RU.risk_sliding(RK.signals(r["recent_tickets"], r["risk_events"]), days)
+    return s.select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "customer_id", "tickets", *_COUNTERS)
+
+
+@query("risk_sliding", _sliding_sql(7))
+def _(r):
+    return _sliding(r, 7)
+
+
+@query("risk_sliding_30d", _sliding_sql(30))
 def _(r):
-    s = RU.risk_sliding(RK.signals(r["recent_tickets"], r["risk_events"]))
-    return s.select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "customer_id", "tickets", "critical", "escalation", "negative")
+    return _sliding(r, 30)
