@@ -77,21 +77,28 @@ def encoder(path: str, kind: str) -> Encoder:
 
 
 class Decoder:
-    """Bytes of a byte-level file's ids; ids outside the file and invalid UTF-8 are left to the library."""
+    """Bytes of a byte-level file's ids; ids outside the file and invalid UTF-8 are left to the library.
+
+    The library is loaded again at the first text that needs it, so that a worker doesn't hold it for nothing.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        vocabulary = self._load().get_vocab(with_added_tokens=True)
         self.pieces = {i: bytes(byte[c] for c in t) for t, i in vocabulary.items() if all(c in byte for c in t)}
 
+    def _load(self):
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def text(self, raw: bytes) -> str:
         ids = np.frombuffer(raw, "<u4").tolist()
         try:
             return b"".join([self.pieces[i] for i in ids]).decode("utf-8")
         except (KeyError, UnicodeDecodeError):
+            self.library = self.library or self._load()
             return self.library.decode(ids, skip_special_tokens=False)
 
 

@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .fast_bpe import small_batches
+from .wordstream import mix
+
 SAMPLE = 4_000  # labelled documents of either label that the model is fitted on (smallest hashes of their ids)
 SEQUENCE = 256  # tokens of a training sequence
 STARTS = (3, 4, 5, 6, 7)  # lengths of the word beginnings used as features
@@ -26,6 +29,7 @@ MIN_RATIO = 6.0  # how much more often than in clean documents
 MIN_EVIDENCE = 30.0  # likelihood-ratio statistic
 STEPS = 150
 CACHE_WORDS = 250_000
+BATCH = 2_048  # texts whose chains run side by side
 
 _WORD = re.compile(r"\w+")
 
@@ -81,82 +85,79 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean:
     return 2 * (toxic * np.log(np.maximum(toxic, 1e-9) / e1) + clean * np.log(np.maximum(clean, 1e-9) / e0))
 
 
-def toxic_features(texts: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Features tied to toxic documents, by distinct (word before, word, word after)."""
-    contexts: tuple[set, set] = (set(), set())
-    for words, label in zip(texts, toxic):
-        contexts[int(label)].update(zip(["", *words[:-1]], words, [*words[1:], ""]))
+def toxic_features(docs: list[np.ndarray], toxic: np.ndarray, names: list[str]) -> dict[str, float]:
+    """Features tied to toxic documents, by distinct (word before, word, word after); ``docs`` hold positions in ``names``."""
+    per_word = []
+    for label in (False, True):
+        own = [np.concatenate([[-1], d]) for d, t in zip(docs, toxic) if bool(t) == label]
+        flat = np.concatenate([*own, [-1]]).astype(np.int64)
+        code = flat.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            key = mix(mix(code[:-2] * np.uint64(3)) + code[1:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(code[2:] * np.uint64(7) + np.uint64(1)))
+        middle = flat[1:-1]
+        _, at = np.unique(key[middle >= 0], return_index=True)
+        per_word.append(np.bincount(middle[middle >= 0][at], minlength=len(names)))
     counts: dict[str, list[int]] = {}
-    for label in (1, 0):
-        per_word: dict[str, int] = {}
-        for _, w, _ in contexts[label]:
-            per_word[w] = per_word.get(w, 0) + 1
-        for w, k in per_word.items():
-            for f in features(w):
-                if label:
-                    counts.setdefault(f, [0, 0])[1] += k
-                elif f in counts:
-                    counts[f][0] += k
-    names = [f for f, (_, one) in counts.items() if one >= MIN_CONTEXTS]
-    if not names:
+    for w in np.flatnonzero(per_word[1]):
+        for f in features(names[w]):
+            counts.setdefault(f, [0, 0])[1] += int(per_word[1][w])
+    for w in np.flatnonzero(per_word[0]):
+        for f in features(names[w]):
+            if f in counts:
+                counts[f][0] += int(per_word[0][w])
+    known = [f for f, (_, one) in counts.items() if one >= MIN_CONTEXTS]
+    if not known:
         return {}
-    clean, bad = (np.array([counts[f][i] for f in names], float) for i in (0, 1))
-    all_bad, all_clean = len(contexts[1]), max(len(contexts[0]), 1)
+    clean, bad = (np.array([counts[f][i] for f in known], float) for i in (0, 1))
+    all_bad, all_clean = float(per_word[1].sum()), max(float(per_word[0].sum()), 1.0)
     ratio = ((bad + 0.5) / (all_bad + 1)) / ((clean + 0.5) / (all_clean + 1))
     strong = (ratio >= MIN_RATIO) & (evidence(bad, clean, all_bad, all_clean) >= MIN_EVIDENCE)
-    return {f: float(np.log(r)) for f, r, ok in zip(names, ratio, strong) if ok}
+    return {f: float(np.log(r)) for f, r, ok in zip(known, ratio, strong) if ok}
 
 
 def fit(texts: list[str], toxic: np.ndarray, share: float) -> Chain | None:
     """``share``: part of toxic documents among all labelled ones, for the prior of the document score."""
-    words = [[w.lower() for w in _WORD.findall(t)] for t in texts]
-    strong = toxic_features(words, toxic)
-    if not strong or toxic.all() or not toxic.any():
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.lower())], np.int64) for t in texts]
+    if toxic.all() or not toxic.any():
+        return None
+    spelled = list(vocabulary)
+    strong = toxic_features(docs, toxic, spelled)
+    if not strong:
         return None
     names = sorted(strong)
     index = {f: i for i, f in enumerate(names)}
-    known: dict[str, list[int]] = {}
-    rows, cols, gold, lengths = [], [], [], []
-    at = 0
-    for own, label in zip(words, toxic):
-        for w in own:
-            hit = known.get(w)
-            if hit is None:
-                hit = known[w] = [index[f] for f in features(w) if f in index]
-            if hit:
-                rows += [at] * len(hit)
-                cols += hit
-                if label:
-                    gold.append(at)
-            at += 1
-        whole, rest = divmod(len(own), SEQUENCE)
-        lengths += [SEQUENCE] * whole + ([rest] if rest else [])
-    rows, cols, gold = np.array(rows, np.int64), np.array(cols, np.int64), np.array(gold, np.int64)
-    lengths = np.array(lengths, np.int64)
+    hits = {i: own for i, w in enumerate(spelled) if (own := [index[f] for f in features(w) if f in index])}
+    marked = np.zeros(len(spelled), bool)
+    marked[list(hits)] = True
+    lengths = np.array([n for d in docs for n in [SEQUENCE] * (len(d) // SEQUENCE) + [len(d) % SEQUENCE] * (len(d) % SEQUENCE > 0)], np.int64)
+    flat = np.concatenate(docs)
+    bad = np.repeat(toxic, [len(d) for d in docs])
     start = np.cumsum(lengths) - lengths
-    # sequences without any feature differ by their length only; they are kept at a tenth and weighted
-    truth = np.zeros(at, bool)
-    truth[gold] = True
-    firsts = np.zeros(at, bool)
-    firsts[start] = True
-    state = truth.astype(int)
-    pairs = np.flatnonzero(~firsts)
-    seen = np.bincount(2 * state[pairs - 1] + state[pairs], minlength=4).reshape(2, 2) + 0.5
+    # sequences without any feature differ by their length only: a tenth of them stays, with ten times the weight
+    touched = np.add.reduceat(marked[flat], start) > 0
+    use = touched.copy()
+    use[np.flatnonzero(~touched)[::10]] = True
+    inside = np.repeat(use, lengths)
+    token_weight = np.repeat(np.where(touched, 1.0, 10.0), lengths)[inside]
+    flat, bad, lengths = flat[inside], bad[inside], lengths[use]
+    start, at, total = np.cumsum(lengths) - lengths, len(flat), token_weight.sum()
+    where = np.flatnonzero(marked[flat])
+    rows = np.repeat(where, [len(hits[w]) for w in flat[where]])
+    cols = np.array([i for w in flat[where] for i in hits[w]], np.int64)
+    truth = marked[flat] & bad
+    gold = np.flatnonzero(truth)
+    follows = np.ones(at, bool)
+    follows[start] = False
+    pairs = np.flatnonzero(follows)
+    seen = np.bincount(2 * truth[pairs - 1] + truth[pairs], weights=token_weight[pairs], minlength=4).reshape(2, 2) + 0.5
     moves = np.log(seen / seen.sum(axis=1, keepdims=True))  # transitions of the labelled chain
     w, bias = np.zeros(len(names)), 0.0
     momentum, scale = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    touched = np.unique(np.searchsorted(start, rows, side="right") - 1)
-    plain = np.setdiff1d(np.arange(len(start)), touched)[::10]
-    use = np.concatenate([touched, plain])
-    weight = np.concatenate([np.ones(len(touched)), np.full(len(plain), 10.0)])
-    token_weight = np.zeros(at)
-    for i, k in zip(use, weight):
-        token_weight[start[i]:start[i] + lengths[i]] = k
-    total = token_weight.sum()
     for step in range(1, STEPS + 1):
         score = np.full(at, bias)
         np.add.at(score, rows, w[cols])
-        odds = odds_pass(start[use], lengths[use], np.exp(np.clip(score, -30, 30)), moves)
+        odds = odds_pass(start, lengths, np.exp(np.clip(score, -30, 30)), moves)
         miss = (truth - odds / (1 + odds)) * token_weight
         grad = np.append(np.bincount(cols, weights=miss[rows], minlength=len(names)) - 0.05 * w, miss.sum() / total * len(gold))
         momentum = 0.9 * momentum + 0.1 * grad
@@ -165,7 +166,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Chain | None:
         w, bias = w + move[:-1], float(np.clip(bias + move[-1], -12, 6))
     chain = Chain(dict(zip(names, w.tolist())), bias, moves, np.zeros(3))
     scorer = Scorer(chain)
-    x = scorer.summaries(texts)[0]
+    x = np.concatenate([scorer.summaries(texts[i:i + BATCH])[0] for i in range(0, len(texts), BATCH)])
     y = toxic.astype(float)
     prior = np.where(toxic, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     design = np.column_stack([np.ones(len(x)), x])
@@ -255,7 +256,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chai
             rest = [("bias", chain.bias), *[("move", v) for v in chain.moves.ravel()], *[("document", v) for v in chain.document]]
             yield pd.DataFrame({"kind": [k for k, _ in rest], "name": [str(i) for i in range(len(rest))], "value": [float(v) for _, v in rest]})
 
-    rows = texts.coalesce(1).mapInPandas(run, "kind string, name string, value double").collect()
+    rows = texts.repartition(1).mapInPandas(run, "kind string, name string, value double").collect()
     if not rows:
         return None
     rest = {k: [r["value"] for r in sorted((r for r in rows if r["kind"] == k), key=lambda r: int(r["name"]))] for k in ("bias", "move", "document")}
@@ -279,7 +280,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
     else:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(chain)
-            for batch in batches:
+            for batch in small_batches(batches, BATCH):
                 scores, spans = scorer.score([t or "" for t in batch.column("text").to_pylist()])
                 found = pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), found], [*names, *added])
