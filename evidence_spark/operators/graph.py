@@ -130,11 +130,14 @@ def _text_line(label: str, column: str) -> Column:
     return line(label, column)
 
 
-def build_nodes(tables: dict[str, DataFrame], spec=SUPPORT_NODES, teams=TEAM_COLUMNS) -> DataFrame:
+NODE_COLUMNS = ("node_type", "label", "text", "properties")
+
+
+def build_nodes(tables: dict[str, DataFrame], spec=SUPPORT_NODES, teams=TEAM_COLUMNS, columns=NODE_COLUMNS) -> DataFrame:
     """All entity and team nodes; the last definition of an id wins.
 
     Every table is scanned once: a row expands into its own node and the team nodes of its
-    owner columns.
+    owner columns. Only the ``columns`` asked for are carried through the aggregate.
     """
     parts = []
     for step, entry in enumerate(spec):
@@ -161,7 +164,7 @@ def build_nodes(tables: dict[str, DataFrame], spec=SUPPORT_NODES, teams=TEAM_COL
         parts.append(df.select(F.explode_outer(F.array_compact(F.array(*found))).alias("_n")).where("_n IS NOT NULL").select("_n.*"))
     union = reduce(DataFrame.unionByName, parts)
     # maps cannot be compared, so the row travels as a struct beside its order
-    row = F.struct("node_type", "label", "text", "properties")
+    row = F.struct(*columns)
     return (union.groupBy("node_id").agg(F.max_by(row, F.struct("order", "text")).alias("_r"))
             .select("node_id", "_r.*"))
 

@@ -157,7 +157,21 @@ def _(r):
     return EV.confidence(r["customer_questions"], _cites(r), _suff(r))
 
 
-@query("grounded_answers")
+SHARED["conf"] = """
+SELECT query_id, mi, n, CASE least(own, CASE level WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM (
+  SELECT *, CASE WHEN n = 0 THEN 0 WHEN len(mi) > 0 THEN (CASE WHEN n >= 3 AND types >= 2 AND exact THEN 1 ELSE 0 END) WHEN n >= 4 AND types >= 2 AND (exact OR ov >= 3) THEN 2
+    WHEN n >= 2 AND (types >= 2 OR exact OR ov >= 2) THEN 1 ELSE 0 END AS own FROM ans2)"""
+SHARED["bullets"] = """
+SELECT query_id, string_agg(concat('- [', claim, '] ', CASE WHEN t <> '' AND e <> '' THEN concat(k, ' ', e, ' (', t, ')') WHEN e <> '' THEN concat(k, ' ', e) WHEN t <> '' THEN concat(k, ' (', t, ')') ELSE k END, ': ', trim(sn)), chr(10) ORDER BY claim) AS body
+FROM (SELECT *, replace(CASE WHEN source_type = '' THEN 'source' ELSE source_type END, '_', ' ') AS k, trim(coalesce(title, '')) AS t,
+  coalesce(nullif(trim(entity_id), ''), trim(coalesce(id, ''))) AS e FROM cites WHERE claim <= 4) GROUP BY query_id"""
+
+
+@query("grounded_answers", """
+SELECT query_id, CASE WHEN body IS NULL THEN concat('I do not have enough retrieved enterprise support evidence to answer this question. Missing information: ', coalesce(nullif(array_to_string(mi, '; '), ''), 'relevant retrieved enterprise support evidence'), '.')
+  ELSE concat_ws(chr(10), CASE WHEN len(mi) > 0 THEN 'Based only on the retrieved enterprise support evidence, I can answer the supported parts but some requested details are missing.' ELSE 'Based only on the retrieved enterprise support evidence:' END,
+    body, CASE WHEN len(mi) > 0 THEN concat('Missing information: ', array_to_string(mi, '; '), '.') END) END AS answer,
+  confidence, array_to_string(mi, '|') AS missing_information, n AS used_citations FROM conf LEFT JOIN bullets USING (query_id)""")
 def _(r):
     return EV.grounded_answers(r["customer_questions"], _cites(r), _suff(r)).withColumn("missing_information", joined("missing_information"))
 

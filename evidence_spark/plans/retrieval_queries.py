@@ -371,7 +371,14 @@ def overlap_score(question: pd.Series, text: pd.Series) -> pd.Series:
                       for q, t in zip(question, text)])
 
 
-@query("model_rerank")
+_WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
+
+
+@query("model_rerank", f"""
+SELECT query_id, doc_key, CAST(rank AS INT) AS rank, round(share, 6) AS ce_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, pos) AS rank FROM (
+    SELECT lex.query_id, lex.doc_key, lex.rank AS pos, len(list_intersect({_WORDS.format('q.query')}, {_WORDS.format('c.text')})) / greatest(1, len({_WORDS.format('q.query')})) AS share
+    FROM lex JOIN corpus c USING (doc_key) JOIN questions q ON q.query_id = lex.query_id WHERE lex.rank <= 10)) WHERE rank <= 5""")
 def _(r):
     hits = _cands(r, 10).withColumnRenamed("cand_rank", "rank")
     return RR.model_rerank(hits, r["questions"], 5, overlap_score).select("query_id", "doc_key", "rank", F.round("ce_score", 6).alias("ce_score"))
@@ -405,7 +412,7 @@ def _nodes(r):
 
 @query("graph_nodes", "SELECT node_id, node_type, label, text FROM g_nodes")
 def _(r):
-    return _nodes(r).select("node_id", "node_type", "label", "text")
+    return G.build_nodes(r.support(), columns=("node_type", "label", "text"))
 
 
 _ES = []
@@ -486,7 +493,18 @@ def _(r):
     return G.graph_context(nodes, edges, r["questions"], 5, 1)["edges"]
 
 
-@query("graph_context_text")
+SHARED["gct_n"] = """
+SELECT query_id, string_agg(concat('- ', node_type, ' ', node_id, ': ', label, '. ', CASE WHEN length(s) > 240 THEN substr(s, 1, 237) || '...' ELSE s END), chr(10) ORDER BY node_type, label, node_id) AS t
+FROM (SELECT i.query_id, n.*, replace(n.text, chr(10), ' ') AS s FROM gc_ids i JOIN g_nodes n USING (node_id)) GROUP BY query_id"""
+SHARED["gct_m"] = "SELECT query_id, string_agg(concat('- ', node_type, ' ', node_id, ': ', label), chr(10) ORDER BY rank) AS t FROM gs GROUP BY query_id"
+SHARED["gct_e"] = """
+SELECT query_id, string_agg(concat('- ', src, ' -[', edge_type, ']-> ', dst), chr(10) ORDER BY src, dst, edge_type) AS t FROM (
+  SELECT s.query_id, e.src, e.dst, e.edge_type FROM g_edges e JOIN gc_ids s ON e.src = s.node_id JOIN gc_ids d ON e.dst = d.node_id AND s.query_id = d.query_id) GROUP BY query_id"""
+
+
+@query("graph_context_text", """
+SELECT q.query_id, concat_ws(chr(10), 'Graph Context' || chr(10) || chr(10) || 'Matched nodes:', coalesce(m.t, '- No matching nodes found.'), chr(10) || 'Context nodes:', c.t, chr(10) || 'Context edges:', e.t) AS context_text
+FROM questions q LEFT JOIN gct_m m ON m.query_id = q.query_id LEFT JOIN gct_n c ON c.query_id = q.query_id LEFT JOIN gct_e e ON e.query_id = q.query_id""")
 def _(r):
     nodes, edges = _graph(r)
     ctx = G.graph_context(nodes, edges, r["questions"], 5, 1)
