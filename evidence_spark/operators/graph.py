@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.text import clip, dashed, line, lines, nonblank, pipe_list, sval, tokens
+from ..functions.text import clip, line, lines, nonblank, pipe_list, sval, tokens
 from ..session import materialise, small_side
 from .relational import substring_pairs, top_k
 from .search import rarest_gram_pairs
