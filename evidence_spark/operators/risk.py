@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.text import contains_any, one_of, record_text, sval
+from ..session import materialise
 from .relational import top_k
 
 
@@ -280,11 +281,13 @@ def isolation_risk(features: DataFrame, n_trees: int = 100, sample: int = 256, s
 
     The forest has at most ``n_trees * (2 * sample)`` nodes whatever the data size, so it
     is the one thing brought to the driver and broadcast; the customers never are.
-    Fewer than two customers fall back to the heuristic score.
+    Fewer than two customers fall back to the heuristic score; ``model`` names the score
+    that was used. The features are stored once, since several steps read them.
     """
     spark = features.sparkSession
+    features = materialise(features)
     if features.limit(2).count() < 2:
-        return score_risk(features).select("customer_id", "risk_score", "risk_level")
+        return score_risk(features).select("customer_id", "risk_score", "risk_level", F.lit("heuristic").alias("model"))
     nodes = grow_forest(features, n_trees, sample, seed).toPandas()
     forest = spark.sparkContext.broadcast(
         {int(t): g.sort_values("node").reset_index(drop=True) for t, g in nodes.groupby("tree")})
@@ -303,4 +306,4 @@ def isolation_risk(features: DataFrame, n_trees: int = 100, sample: int = 256, s
                       (F.col("oddness") - F.col("_e.lo")) / (F.col("_e.hi") - F.col("_e.lo")) * 100.0)
         .otherwise(50.0))
     return scaled.select("customer_id", F.round("raw", 2).alias("risk_score"),
-                         risk_level(F.col("raw")).alias("risk_level"))
+                         risk_level(F.col("raw")).alias("risk_level"), F.lit("isolation_forest").alias("model"))
