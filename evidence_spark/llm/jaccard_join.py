@@ -12,15 +12,15 @@ that still lie in different components are looked at.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from .common import components, store
+from .common import bitmap, components, likely, store
 from .wordstream import Words, gram_hashes, mix, text_chunks, words_of
 
 SLOTS = 1 << 19  # counters of the rarity table: a fixed 4 MB whatever the corpus
@@ -100,13 +100,16 @@ def profiles(documents: DataFrame, n: int) -> DataFrame:
 
 
 def prefixes(documents: DataFrame, n: int, percent: int, table: np.ndarray) -> DataFrame:
-    """(gram, part, size, k1, doc_id, pos): the rarest elements of every set; lists of heavy elements are dealt into parts."""
+    """(gram, part, size, k1, doc_id, pos, rare): the rarest elements of every set; lists of heavy elements are dealt into parts.
+
+    ``rare`` is the same for all rows of a set: the less its prefix is shared, the larger.
+    """
     usual = int(np.median(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(7)]
             with np.errstate(over="ignore"):
                 for row, own in shingle_sets(batch.column("text"), n):
                     if not len(own) or pd.isna(ids[row]):
@@ -119,83 +122,108 @@ def prefixes(documents: DataFrame, n: int, percent: int, table: np.ndarray) -> D
                     else:
                         few = np.arange(len(own))
                     few = few[np.argsort(counts[few], kind="stable")][:p]  # equal counts stay in the order of hashes
-                    parts = 1 + np.maximum(counts[few] - usual, 0) // HEAVY
+                    parts = np.maximum(counts[few] - usual, 0) // HEAVY  # part 0: a list that isn't split
                     digest = own.sum(dtype=np.uint64)  # copies of a set stay in one part
                     spot, size = mix(np.array([digest]))[0], len(few)
-                    for col, x in zip(cols, (own[few], (spot % parts.astype(np.uint64)).astype(np.int32), np.full(size, len(own), np.int32),
-                                             np.full(size, digest), np.full(size, int(ids[row]), np.int64), np.arange(size, dtype=np.int32))):
+                    for col, x in zip(cols, (own[few], np.where(parts > 0, 1 + spot % np.maximum(parts, 1).astype(np.uint64), 0).astype(np.int32), np.full(size, len(own), np.int32),
+                                             np.full(size, digest), np.full(size, int(ids[row]), np.int64), np.arange(size, dtype=np.int32),
+                                             np.full(size, -int(counts[few].mean()), np.int32))):
                         col.append(x)
             if cols[0]:
                 out = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(c)) for c in out], ["gram", "part", "size", "k1", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(c)) for c in out], ["gram", "part", "size", "k1", "doc_id", "pos", "rare"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "gram long, part int, size int, k1 long, doc_id long, pos int")
+    return documents.select("doc_id", "text").mapInArrow(run, "gram long, part int, size int, k1 long, doc_id long, pos int, rare int")
 
 
-def stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Members of lists with at least two classes, each with the earliest list member of a length within reach.
+def stars(postings: DataFrame) -> DataFrame:
+    """(gram, doc_id, size, pos, p_doc, p_size, p_pos) of lists with at least two classes; of a class only its smallest id.
 
-    A task reads its lists in sorted order and keeps only the current one's pivot, so the length of a list costs no memory.
+    The pivot p of a list (or of a part of a split list) is the member whose prefix is shared most: the text that near
+    copies were made from, rather than a copy with words of its own. A task reads its lists in sorted order and keeps one
+    row, so the length of a list costs no memory. Split lists are given out whole, since company may be in another part.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the last list seen so far that weren't given out: at most its first
-        pivot = None  # (gram, part, doc, size, pos) of the list that is going on
+        held = None  # the first row of the list that was going on at the end of a batch
+        pivot = None  # (gram, part, doc, size, pos) of that list
         last = None  # (gram, part, size, k1) of the last row, to skip copies
         for batch in batches:
             g, part, size, k1, doc, pos = (batch.column(c).to_numpy() for c in ("gram", "part", "size", "k1", "doc_id", "pos"))
+            if not len(g):
+                continue
             fresh = np.ones(len(g), bool)
             fresh[1:] = (g[1:] != g[:-1]) | (part[1:] != part[:-1]) | (size[1:] != size[:-1]) | (k1[1:] != k1[:-1])
-            if len(g) and last is not None:
-                fresh[0] = (g[0], part[0], size[0], k1[0]) != last
-            if len(g):
-                last = (g[-1], part[-1], size[-1], k1[-1])
-            g, part, size, doc, pos = (x[fresh] for x in (g, part, size, doc, pos))
+            fresh[0] = last is None or (g[0], part[0], size[0], k1[0]) != last
+            last = (g[-1], part[-1], size[-1], k1[-1])
+            rows = [x[fresh] for x in (g, part, doc, size, pos)]
             if held is not None:
-                g, part, size, doc, pos = (np.concatenate([[h], x]) for h, x in zip(held, (g, part, size, doc, pos)))
-                held = None
+                rows = [np.concatenate([[h], x]) for h, x in zip(held, rows)]
+            g, part, doc, size, pos = rows
             if not len(g):
                 continue
             head = np.ones(len(g), bool)
             head[1:] = (g[1:] != g[:-1]) | (part[1:] != part[:-1])
-            if pivot is not None and (g[0], part[0]) == pivot[:2]:
-                head[0] = False
-            single = head & np.append(head[1:], False)
-            if head[-1]:
-                held, single[-1] = (g[-1], part[-1], size[-1], doc[-1], pos[-1]), True  # whether it has company shows in the next batch
-            keep = ~single
-            g, part, size, doc, pos, head = (x[keep] for x in (g, part, size, doc, pos, head))
-            if not len(g):
-                continue
-            pd_, ps, pp = doc.copy(), size.copy(), pos.copy()
-            starts = np.flatnonzero(head | (np.arange(len(g)) == 0))
-            for a, b in zip(starts, np.append(starts[1:], len(g))):
-                own = (doc[a], size[a], pos[a]) if head[a] else pivot[2:]
-                at = a
-                while at < b:  # one turn for each band of lengths
-                    reach = at + int(np.searchsorted(size[at:b], 100 * int(own[1]) // percent, side="right"))
-                    pd_[at:reach], ps[at:reach], pp[at:reach] = own
-                    at = reach
-                    if at < b:
-                        own = (doc[at], size[at], pos[at])
-                pivot = (g[a], part[a], *own)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, part, doc, size, pos, pd_, ps, pp)],
-                                             ["gram", "part", "doc_id", "size", "pos", "p_doc", "p_size", "p_pos"])
-
-    keys = ["gram", "part"]
-    dealt = postings.repartition(*keys).sortWithinPartitions(*keys, "size", "k1", "doc_id")
-    return dealt.mapInArrow(run, "gram long, part int, doc_id long, size int, pos int, p_doc long, p_size int, p_pos int")
-
-
-def reachable(size_a, pos_a, size_b, pos_b, percent: int):
-    """Length and positional filter on columns."""
-    need = F.ceil(percent * (size_a + size_b) / (100 + percent))
-    bound = F.least(pos_a, pos_b) + F.least(size_a - pos_a, size_b - pos_b)
-    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (bound >= need)
+            head[0] = held is not None or pivot is None or (g[0], part[0]) != pivot[:2]
+            at = np.maximum.accumulate(np.where(head, np.arange(len(g)), -1))  # place of each row's pivot, -1: of the batch before
+            mine = [np.where(at < 0, 0 if pivot is None else old, x[np.maximum(at, 0)]) for x, old in zip((doc, size, pos), pivot[2:] if pivot else (0, 0, 0))]
+            keep = ~(head & np.append(head[1:], True)) | (part > 0)
+            pivot = (g[-1], part[-1], mine[0][-1], mine[1][-1], mine[2][-1])
+            held = (g[-1], part[-1], doc[-1], size[-1], pos[-1]) if head[-1] and not part[-1] else None  # its company shows in the next batch
+            columns = (g, doc, size, pos, *mine)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(t)) for x, t in zip(columns, ("i8", "i8", "i4", "i4", "i8", "i4", "i4"))], NAMES)
+
+    NAMES = ["gram", "doc_id", "size", "pos", "p_doc", "p_size", "p_pos"]
+    dealt = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "rare", "size", "k1", "doc_id")
+    return dealt.mapInArrow(run, "gram long, doc_id long, size int, pos int, p_doc long, p_size int, p_pos int")
+
+
+def rest(size, percent: int):
+    """Elements of a set after its prefix."""
+    return F.ceil(percent * size / 100) - 1
+
+
+def missing(size_a, size_b, percent: int):
+    """Least number of prefix elements that two sets of these sizes share if they link."""
+    return F.ceil(percent * (size_a + size_b) / (100 + percent)) - F.greatest(rest(size_a, percent), rest(size_b, percent))
+
+
+def reachable(a: tuple, b: tuple, percent: int):
+    """Length and positional filter on columns (size, position) of two sets."""
+    (na, ia), (nb, ib) = a, b
+    need = F.ceil(percent * (na + nb) / (100 + percent))
+    bound = F.least(ia, ib) + F.least(na - ia, nb - ib)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bound >= need)
+
+
+def crossing(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that share a list and may link.
+
+    Two sets that link share at least ``missing`` of their listed elements. With the m elements of a set in the order of
+    their lists' lengths, rarest first, one of the shared ones is among its first m - missing + 1, and the same holds for
+    the other set, so a pair is made from lists early in the order of both.
+    """
+    lengths = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
+    mixed = store(lengths.where("lo <> hi").select("gram", "length"))
+    own = Window.partitionBy("doc_id")
+    open_ = placed.join(mixed, "gram").withColumn("m", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("length", "gram")))
+    open_ = store(open_.select("gram", "doc_id", "size", "pos", "m", "rank", "component"))
+    names = ["doc_id", "size", "pos", "m", "rank", "component"]
+    left, right = (open_.select("gram", *[F.col(n).alias(f"{n}_{side}") for n in names]) for side in "ab")
+    a, b = ({n: F.col(f"{n}_{side}") for n in names} for side in "ab")
+    least = F.greatest(missing(a["size"], b["size"], percent), F.lit(1))
+    early = (a["rank"] <= a["m"] - least + 1) & (b["rank"] <= b["m"] - least + 1)
+    both = left.join(right, "gram").where((a["doc_id"] > b["doc_id"]) & (a["component"] != b["component"]) & early)
+    both = both.where(reachable((a["size"], a["pos"]), (b["size"], b["pos"]), percent))
+    return both.select(a["doc_id"].alias("a"), b["doc_id"].alias("b")).distinct()
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
 
 def suffix_filter(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Drops pairs whose histograms leave less in common than the threshold needs."""
-    side = docs.select("doc_id", "n", "cells")
+    side = likely(docs.select("doc_id", "n", "cells"), store(bitmap(ends_of(pairs))), True)
     both = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,6 +249,8 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
                 keep[row] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
+    ids = store(ends_of(pairs))
+    texts = store(likely(texts, store(bitmap(ids)), True).join(ids, "doc_id", "left_semi"))
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -245,41 +275,31 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, id_c
     table[counted["doc_id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
 
     classes = store(docs.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
-    lists = store(stars(prefixes(rows, n, percent, table), percent))
-    heads = lists.where("doc_id = p_doc and part > 0").select("gram").distinct()
-    joints = lists.join(heads, "gram").where("doc_id = p_doc").select(
-        "gram", F.lit(0).alias("part"), "size", F.col("doc_id").alias("k1"), "doc_id", "pos")
-    across = stars(joints, percent) if math.ceil((table.max() - np.median(table)) / HEAVY) > 1 else None
-
-    edges = lists if across is None else lists.unionByName(across)
-    sides = (F.col("p_size"), F.col("p_pos"), F.col("size"), F.col("pos"))
-    tried = edges.where("doc_id <> p_doc").where(reachable(*sides, percent)).groupBy("doc_id", "p_doc").agg(F.count("*").alias("c"))
+    lists = store(stars(prefixes(rows, n, percent, table)))
+    sets = docs.where("n > 0")
+
+    # first each document against the pivot that it shares most lists with
+    shared = lists.where("doc_id <> p_doc").where(reachable((F.col("p_size"), F.col("p_pos")), (F.col("size"), F.col("pos")), percent))
+    tried = shared.groupBy("doc_id", "p_doc").agg(F.count("*").alias("c"))
     tried = tried.groupBy("doc_id").agg(F.max_by("p_doc", F.struct("c", -F.col("p_doc"))).alias("p_doc"))
-    members = store(lists.select("doc_id").distinct())
-    involved = store(rows.join(members, "doc_id", "left_semi"))
-    known = store(docs.where("n > 0").join(members, "doc_id", "left_semi"))
     tried = store(tried.select(F.col("doc_id").alias("a"), F.col("p_doc").alias("b")))
-    links = store(verify(suffix_filter(tried, known, percent), involved, n, percent))
+    links = store(verify(store(suffix_filter(tried, sets, percent)), rows, n, percent))
     first = store(components(links))
 
+    # then all pairs that share a list, may link and lie in different components
     label = first.select(F.col("node").alias("doc_id"), "component")
-    placed = lists.select("gram", "doc_id", "size", "pos").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = store(placed)
-    mixed = store(placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram"))
-    open_ = store(placed.join(mixed, "gram"))
-    left, right = open_.toDF("gram", "a", "sa", "pa", "ca"), open_.toDF("gram", "b", "sb", "pb", "cb")
-    pairs = left.join(right, "gram").where("a > b and ca <> cb").where(reachable(F.col("sa"), F.col("pa"), F.col("sb"), F.col("pb"), percent))
-    pairs = pairs.select("a", "b").distinct()
+    placed = lists.select("gram", "doc_id", "size", "pos").join(label, "doc_id", "left")
+    placed = store(placed.withColumn("component", F.coalesce("component", "doc_id")))
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = store(pairs.join(done, ["a", "b"], "left_anti"))
-    more = verify(store(suffix_filter(pairs, known, percent)), involved, n, percent)
+    pairs = store(crossing(placed, percent).join(done, ["a", "b"], "left_anti"))
+    more = verify(store(suffix_filter(pairs, sets, percent)), rows, n, percent)
     merged = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     ends = more.join(first.toDF("a", "x"), "a", "left").join(first.toDF("b", "y"), "b", "left")
     ends = ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     final = store(components(merged.unionByName(ends)))
 
-    found = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
+    groups = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    found = store(found)
-    out = docs.join(found, ["n", "k1", "k2"], "left")
+    groups = store(groups)
+    out = docs.join(groups, ["n", "k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -15,12 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import store
+from .common import bitmap, likely, store
 from .wordstream import Words, gram_hashes, text_chunks, words_of
 
 LINE = 26  # words of a hashed line
 MIN_WORDS = 50  # words of a run that is deleted
-BITMAP = 1 << 22  # bits of the fixed bitmaps that keep unmatched texts out of shuffles
 STRIDE = 64  # bounds of the passages fetched for comparison are multiples of this many words
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -146,23 +145,6 @@ def _without_runs(text: str, found: list[dict], min_words: int) -> tuple[str, in
     return b"".join(parts).decode("utf-8"), int(gone.sum())
 
 
-def bitmap(ids: DataFrame) -> DataFrame:
-    """(_word, _bits): a bitmap of ``BITMAP`` bits with those set that the ids hash to; at most BITMAP / 64 rows."""
-    slots = ids.toDF("id").select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("slot"))
-    return slots.groupBy((F.col("slot") / 64).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits"))
-
-
-def likely(documents: DataFrame, bits: DataFrame, wanted: bool) -> DataFrame:
-    """Documents whose id's bit is set, or those whose bit isn't.
-
-    It spares most texts a shuffle; the join that follows decides. A bitmap that is full lets every document through.
-    """
-    marked = documents.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))).withColumn("_word", (F.col("_slot") / 64).cast("int"))
-    marked = marked.join(F.broadcast(bits), "_word", "left")  # a fixed number of rows
-    hit = F.coalesce(F.expr("shiftright(_bits, cast(_slot % 64 as int)) & 1 = 1"), F.lit(False))
-    return marked.where(hit if wanted else ~hit).select(*documents.columns)
-
-
 def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int = LINE) -> DataFrame:
     """``documents`` with repeated runs deleted from ``text``, and ``n_removed``, the number of words deleted.
 
