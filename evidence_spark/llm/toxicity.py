@@ -16,8 +16,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
+from .common import store
 from .fast_bpe import small_batches
 from .wordstream import mix
 
@@ -243,8 +243,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chai
     counts = dict(known.groupBy("is_toxic").count().collect())
     if len(counts) < 2:
         return None
-    rank = F.row_number().over(Window.partitionBy("is_toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "is_toxic")
+    parts = [known.where(F.col("is_toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (True, False)]
+    chosen = store(parts[0].unionByName(parts[1]))
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows
     share = counts[True] / (counts[True] + counts[False])
 
