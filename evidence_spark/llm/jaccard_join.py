@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import bitmap, components, likely, store
+from .fast_bpe import small_batches
 from .wordstream import Words, gram_hashes, mix, text_chunks, words_of
 
 SLOTS = 1 << 19  # counters of the rarity table: a fixed 4 MB whatever the corpus
@@ -75,7 +76,7 @@ def profiles(documents: DataFrame, n: int) -> DataFrame:
     """Rows kind 'd': id, set size, set digest, histogram; rows kind 'c': counts of the rarity table's slots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches, 2048):
             ids, sizes, k1, k2, cells, slots = batch.column("doc_id"), [], [], [], [], [np.empty(0, np.uint64)]
             with np.errstate(over="ignore"):
                 for _, own in shingle_sets(batch.column("text"), n):
@@ -107,7 +108,7 @@ def prefixes(documents: DataFrame, n: int, percent: int, table: np.ndarray) -> D
     usual = int(np.median(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2048):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             cols = [[] for _ in range(7)]
             with np.errstate(over="ignore"):
