@@ -37,12 +37,12 @@ def bitmap(ids: DataFrame) -> DataFrame:
     return slots.groupBy((F.col("slot") / 64).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits"))
 
 
-def likely(documents: DataFrame, bits: DataFrame, wanted: bool) -> DataFrame:
-    """Documents whose id's bit is set, or those whose bit isn't.
+def likely(documents: DataFrame, bits: DataFrame, wanted: bool, key: str = "doc_id") -> DataFrame:
+    """Documents (or other rows with a ``key``) whose id's bit is set, or those whose bit isn't.
 
     It spares most texts a shuffle; the join that follows decides. A bitmap that is full lets every document through.
     """
-    marked = documents.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))).withColumn("_word", (F.col("_slot") / 64).cast("int"))
+    marked = documents.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(BITMAP))).withColumn("_word", (F.col("_slot") / 64).cast("int"))
     marked = marked.join(F.broadcast(bits), "_word", "left")  # a fixed number of rows
     hit = F.coalesce(F.expr("shiftright(_bits, cast(_slot % 64 as int)) & 1 = 1"), F.lit(False))
     return marked.where(hit if wanted else ~hit).select(*documents.columns)

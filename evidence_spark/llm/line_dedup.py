@@ -4,11 +4,14 @@ Texts keep their passages inside long paragraphs, so the line that is hashed is
 starting at any word; physical line breaks count as white space. Of every ``min_words - LINE + 1`` consecutive line hashes
 the smallest is selected, so any run of ``min_words`` words that two documents share has a selected hash at the same place
 in both. Selected hashes meet by a shuffle; each later place is matched with the first one, the match is extended word by
-word both ways, and runs of at least ``min_words`` words are deleted from the later document.
+word both ways, and runs of at least ``min_words`` words are deleted from the later document. The first place of a hash
+need not be the one that shares most: windows of ``min_words`` words that stand at a shared hash and are left over meet a
+second time, by the hash of the whole window, and go from every document but the first that has them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bitmap, likely, store
+from .fast_bpe import small_batches
 from .wordstream import Words, gram_hashes, text_chunks, words_of
 
 LINE = 26  # words of a hashed line
@@ -88,14 +92,58 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["f_doc", "lo", "hi", "passage"])
 
 
+def _digest(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+def _own(raw: bytes) -> Words:
+    data = np.frombuffer(raw, np.uint8)
+    return words_of(data, np.array([0, len(data)]), lower=False)
+
+
+def _runs(mask: np.ndarray) -> np.ndarray:
+    """Starts and ends, in turn, of the runs of true values."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+
+
+def _settle(batches: Iterator[pa.RecordBatch], line: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Runs that the matches delete from a text, and the windows at its shared hashes that they leave over."""
+    for batch in small_batches(batches):
+        digests, runs, windows, none = [], [], [], np.empty(0, np.int64)
+        for text, found, grams in zip(*(batch.column(c) for c in ("text", "found", "grams"))):
+            raw = (text.as_py() or "").encode("utf-8")
+            with np.errstate(over="ignore"):
+                own = _own(raw)
+                gone = _matched(own, found.as_py() or [], min_words)
+                h, _ = gram_hashes(own, line)
+                whole, _ = gram_hashes(own, min_words)
+            left = none, none, none.astype(bool)
+            if len(whole):
+                known, later = (grams.values.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "later"))
+                least = np.lib.stride_tricks.sliding_window_view(h, min_words - line + 1).min(axis=1).view(np.int64)
+                sums = np.concatenate([[0], np.cumsum(gone)])
+                open_ = sums[min_words:] - sums[:-min_words] < min_words
+                at = np.flatnonzero(open_ & np.isin(least, known))
+                at = at[np.unique(whole[at], return_index=True)[1]]
+                left = least[at], whole[at].view(np.int64), np.isin(least[at], known[later])
+            digests.append(_digest(raw))
+            runs.append(_runs(gone).tolist())
+            windows.append(left)
+        ends = np.cumsum([0, *(len(w[0]) for w in windows)]).astype(np.int32)
+        flat = [pa.array(np.concatenate(c)) for c in zip(*windows)] if windows else [pa.array(none), pa.array(none), pa.array(none.astype(bool))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(digests, pa.int64()), pa.array(runs, pa.list_(pa.int32())),
+             pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, ["gram", "win", "later"]))], ["doc_id", "digest", "runs", "windows"])
+
+
 def _delete(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = batch.column("found")
-        names = [n for n in batch.schema.names if n != "found"]
-        hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        found, wins = batch.column("found"), batch.column("wins")
+        names = [n for n in batch.schema.names if n not in ("found", "wins")]
+        hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False) | wins.is_valid().to_numpy(zero_copy_only=False))
         texts: dict[int, tuple[str, int]] = {}
         for row in hit.tolist():
-            result = _without_runs(batch.column("text")[row].as_py() or "", found[row].as_py(), min_words)
+            result = _without_runs(batch.column("text")[row].as_py() or "", found[row].as_py() or [], wins[row].as_py() or [], min_words)
             if result is not None:
                 texts[row] = result
         removed = np.zeros(batch.num_rows, np.int64)
@@ -113,26 +161,35 @@ def _delete(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed)], [*names, "n_removed"])
 
 
-def _without_runs(text: str, found: list[dict], min_words: int) -> tuple[str, int] | None:
+def _matched(own: Words, found: list[dict], min_words: int) -> np.ndarray:
+    gone = np.zeros(len(own.hash), bool)
+    for match in found:
+        other = _own(match["passage"].encode("utf-8")).hash
+        at = match["lo"] + match["shift"]
+        skip = max(0, -at)
+        a = own.hash[at + skip:at + len(other)]
+        edge = _runs(a == other[skip:skip + len(a)])
+        for i, j in zip(edge[::2], edge[1::2]):
+            if j - i >= min_words:
+                gone[at + skip + i:at + skip + j] = True
+    return gone
+
+
+def _without_runs(text: str, found: list[dict], wins: list[int], min_words: int) -> tuple[str, int] | None:
     raw = text.encode("utf-8")
-    data = np.frombuffer(raw, np.uint8)
     with np.errstate(over="ignore"):
-        own = words_of(data, np.array([0, len(data)]), lower=False)
+        own = _own(raw)
         gone = np.zeros(len(own.hash), bool)
-        for match in found:
-            other = match["passage"].encode("utf-8")
-            other = words_of(np.frombuffer(other, np.uint8), np.array([0, len(other)]), lower=False).hash
-            at = match["lo"] + match["shift"]
-            skip = max(0, -at)
-            a = own.hash[at + skip:at + len(other)]
-            same = np.concatenate([[False], a == other[skip:skip + len(a)], [False]])
-            edge = np.flatnonzero(same[1:] != same[:-1])
-            for i, j in zip(edge[::2], edge[1::2]):
-                if j - i >= min_words:
-                    gone[at + skip + i:at + skip + j] = True
+        digest = _digest(raw)
+        for runs in (f["runs"] for f in found if f["digest"] == digest):
+            for i, j in zip(runs[::2], runs[1::2]):
+                gone[i:j] = True
+        if wins:
+            for i in np.flatnonzero(np.isin(gram_hashes(own, min_words)[0].view(np.int64), np.array(wins, np.int64))).tolist():
+                gone[i:i + min_words] = True
     if not gone.any():
         return None
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    edge = _runs(gone)
     parts, at = [], 0
     for i, j in zip(edge[::2], edge[1::2]):
         if j < len(gone):
@@ -148,18 +205,19 @@ def _without_runs(text: str, found: list[dict], min_words: int) -> tuple[str, in
 def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int = LINE) -> DataFrame:
     """``documents`` with repeated runs deleted from ``text``, and ``n_removed``, the number of words deleted.
 
-    A run is at least ``min_words`` consecutive words, compared exactly, that also stand in a document of smaller id. It
-    stays in the first document that has it. Repeats inside one document are left alone. Null and empty texts, texts
+    A run is at least ``min_words`` consecutive words that also stand in a document of smaller id; words are compared one
+    by one, windows left over by two 64-bit hashes. It stays in the first document that has it. Repeats inside one document are left alone. Null and empty texts, texts
     without a repeated run and rows with a null id stay as they are; columns of ``documents`` are kept, except that one
     named ``n_removed`` is replaced. Rows of a repeated id count as one document towards each other. An empty table gives
     no rows. A text all of whose words are deleted is left empty.
     """
-    names = [c for c in documents.columns if c not in ("n_removed", "found")]
+    names = [c for c in documents.columns if c not in ("n_removed", "found", "wins")]
     rows = documents.select(*names).withColumn("doc_id", F.col("doc_id").cast("long"))
     prints = store(fingerprints(rows, line, min_words))
     first = prints.groupBy("gram").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last"))
     first = store(first.where("f.doc_id < last").select("gram", F.col("f.doc_id").alias("f_doc"), F.col("f.pos").alias("f_pos")))
-    places = prints.join(first, "gram").where("doc_id > f_doc")
+    shared = store(prints.join(first, "gram"))
+    places = shared.where("doc_id > f_doc")
     near = F.col("f_pos")
     matches = places.groupBy("doc_id", "f_doc", (F.col("pos") - near).alias("shift")).agg(F.min(near).alias("a"), F.max(near).alias("b"))
     lo = F.greatest(F.lit(0), F.floor((F.col("a") - min_words) / STRIDE) * STRIDE).cast("int")
@@ -170,8 +228,18 @@ def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int =
     passages = store(sources.mapInArrow(_passages, "f_doc long, lo int, hi int, passage string"))
     found = matches.join(passages, ["f_doc", "lo", "hi"]).groupBy("doc_id").agg(
         F.collect_list(F.struct("shift", "lo", "passage")).alias("found"))  # a document's own length bounds what it can match
+    grams = shared.groupBy("doc_id").agg(F.collect_set(F.struct("gram", (F.col("doc_id") > F.col("f_doc")).alias("later"))).alias("grams"))
+    texts = likely(rows.select("doc_id", "text"), store(bitmap(shared.select("doc_id"))), True).join(grams.join(found, "doc_id", "left"), "doc_id")
+    settled = store(texts.select("doc_id", "text", "found", "grams").mapInArrow(
+        lambda batches: _settle(batches, line, min_words), "doc_id long, digest long, runs array<int>, windows array<struct<gram:long,win:long,later:boolean>>"))
+    left = settled.select("doc_id", F.inline("windows"))
+    needed = likely(left, store(bitmap(left.where("later").select("gram"))), True, "gram")  # the others have no window to delete
+    lead = store(needed.groupBy("gram", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("last")).where("lo < last").select("gram", "win", "lo"))
+    again = likely(left, store(bitmap(lead.select("win"))), True, "win").join(lead, ["gram", "win"]).where("doc_id > lo")
+    again = store(again.groupBy("doc_id").agg(F.collect_set("win").alias("wins")))  # no more than the document's words
+    runs = settled.where(F.size("runs") > 0).groupBy("doc_id").agg(F.collect_set(F.struct("digest", "runs")).alias("found"))
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    bits = store(bitmap(matches.select("doc_id")))
-    out = likely(rows, bits, True).join(found, "doc_id", "left").select(*names, "found")
+    bits = store(bitmap(settled.where(F.size("runs") > 0).select("doc_id").unionByName(again.select("doc_id"))))
+    out = likely(rows, bits, True).join(runs.join(again, "doc_id", "full"), "doc_id", "left").select(*names, "found", "wins")
     out = out.mapInArrow(lambda batches: _delete(batches, min_words), f"{fields}, n_removed long")
     return out.unionByName(likely(rows, bits, False).withColumn("n_removed", F.lit(0).cast("long")))

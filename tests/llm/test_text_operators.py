@@ -90,6 +90,23 @@ def test_line_dedup_keeps_first_runs_only(spark, corpus):
     assert line_dedup.remove_repeats(frame(spark, [])).collect() == []
 
 
+def test_line_dedup_finds_runs_behind_shorter_ones(spark):
+    """An earlier document, or an earlier place of the first one, has only 30 to 49 words of the passage."""
+    rng = random.Random(17)
+    rows, want = [], {}
+    for k in range(12):
+        passage = sentence(rng, 50 + 3 * k, 10**9).split()
+        piece = " ".join(passage[2:2 + rng.randint(30, 49)])
+        part, rest = sentence(rng, 20, 10**9), sentence(rng, 25, 10**9)
+        rows.append((10 * k, f"{part} {piece} {rest}"))
+        first = f"{piece} {sentence(rng, 9, 10**9)} {' '.join(passage)} {sentence(rng, 30, 10**9)}"
+        rows += [(10 * k + 1, first), (10 * k + 2, f"{part[:40]} {' '.join(passage)} {rest[:40]}"), (10 * k + 2, f"twin {' '.join(passage)}")]
+        want |= {(10 * k, 0): 1, (10 * k + 1, 0): 1, (10 * k + 2, len(passage)): 2}
+    got = [(r["doc_id"], r["n_removed"], r["text"]) for r in line_dedup.remove_repeats(frame(spark, rows)).collect()]
+    assert {(i, n): sum(g[:2] == (i, n) for g in got) for i, n, _ in got} == want
+    assert sum(t.strip() == "twin" for _, _, t in got) == 12
+
+
 def test_winnowing_guarantee():
     rng = random.Random(1)
     shared = sentence(rng, 50)
