@@ -37,22 +37,44 @@ _CONTAINERS = {"article", "main", "nav", "header", "footer", "aside", "form", "d
 _BLOCKS = _CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "pre", "address",
                          "figcaption", "hr", "html", "summary", "center", "option", "legend", "label"}
 _GONE = {"nav", "footer", "aside", "form", "dialog", "head", "menu", "search", "fieldset"}
-_MARKS = {  # words in class, id, role or label that tell what an element is for
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent",
-    "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "nav", "navbar",
-    "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "complementary", "contentinfo", "footer", "masthead", "toolbar", "pagination", "pager",
-    "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "related", "recommended",
-    "widget", "search", "skip", "copyright", "disclaimer", "hidden",
+_SURE = {  # class names that tell what an element is for even inside an article
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "gdpr", "popup",
+    "newsletter", "subscribe", "signup", "login", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "share", "sharing",
+    "comment", "comments", "commentlist", "disqus",
 }
+_MARKS = _SURE | {  # names that tell it outside articles only: inside they also name sections of the text
+    "banner", "consent", "notice", "notices", "notification", "alert", "modal", "overlay", "menu", "sidebar", "complementary", "contentinfo", "footer",
+    "masthead", "toolbar", "social", "reply", "replies", "respond", "discussion", "related", "recommended", "widget", "search", "skip", "copyright",
+    "disclaimer", "hidden",
+}
+_NEUTRAL = {"site", "page", "global", "primary", "secondary", "top", "bottom", "left", "right", "area", "block", "box", "container", "wrapper", "wrap", "list",
+            "bar", "link", "links", "buttons", "form", "inner", "outer", "slot", "unit", "section", "post", "posts", "articles", "media"}
+_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
 _HEADING = re.compile(r"h[1-6]\Z")
 
 
-def _marked(attributes: str) -> bool:
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+def _names(value: str, marks: set[str]) -> bool:
+    """Whether a name (of a class, an id) is a mark as a whole: beside marks it has neutral words and numbers only."""
+    for name in value.split():
+        words = [w for w in re.split(r"[-_0-9]+", name) if w]
+        if not marks.isdisjoint(words) and all(w in marks or w in _NEUTRAL for w in words):
+            return True
+    return False
+
+
+def _marked(name: str, attributes: str, inside: bool) -> bool:
+    """``inside`` an article or main, ids and labels name parts of the text and don't count, nor do loose class names."""
+    for attribute, value in _ATTRIBUTE.findall(attributes):
+        attribute, value = attribute.lower(), value.strip("\"'").lower()
+        if attribute == "hidden" or (attribute == "aria-hidden" and value == "true") or (attribute == "style" and re.search(r"display\s*:\s*none", value)):
+            return True
+        if _HEADING.match(name):
+            continue
+        if attribute == "role" and not _ROLES.isdisjoint(value.split()):
+            return True
+        if attribute == "class" and _names(value, _SURE if inside else _MARKS):
             return True
-        if name in ("class", "id", "role", "aria-label") and not _MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
+        if not inside and (attribute == "id" and _names(value, _MARKS) or attribute == "aria-label" and value.strip() in _MARKS):
             return True
     return False
 
@@ -108,7 +130,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             zone = stack[-1][1] if stack else "o"
         if attributes.endswith("/"):
             continue
-        marked = bool(attributes.strip()) and _marked(attributes)
+        marked = bool(attributes.strip()) and _marked(name, attributes, zone == "c")
         if name == "body":
             stack.clear()
             zone = "o"

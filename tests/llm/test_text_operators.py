@@ -253,3 +253,13 @@ def test_html_structure_and_host_repeats(spark):
         (1, "Head & title\nOne two three four\nCafé <x>"), (2, ""), (3, ""), (4, "first page only words here"), (5, "second page tells another tale"),
         (6, common), (6, common), (7, "deep"), (8, "a < b & c <"), (9, "x"), (10, "quoted\nrest")]
     assert html_extract.extract_pages(page(spark, [])).collect() == []
+
+
+def test_html_names_do_not_drop_article_text():
+    page = "<main><h2 id='notices'>Notices</h2><section id='discussion'>One</section><section id='related-work'>Two</section><section aria-label='Search'>Three" \
+           "</section><div class='no-ads'>Four</div><div class='ad slot-3'>Buy</div><ol class='comments-list'><li>me too</ol><p hidden>no</p></main>"
+    assert [t for z, t in html_extract.blocks(page) if z == "c"] == ["Notices", "One", "Two", "Three", "Four"]
+    assert html_extract.blocks("<article class='post has-sidebar'>Text</article>") == [("c", "Text")]
+    assert html_extract.blocks("<div class='layout with-sidebar'>Text<div class='sidebar'>side</div><div id='site-footer'>us</div></div>") == [
+        ("o", "Text"), ("b", "side"), ("b", "us")]
+    assert html_extract.blocks("<article class='comment'>me too</article>") == [("b", "me too")]
