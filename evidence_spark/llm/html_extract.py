@@ -1,10 +1,10 @@
-"""Main text of web pages: page structure and a suffix array over the pages of a host.
+"""Main text of web pages: page structure, and repeats over the pages of a host where structure says nothing.
 
 A page is cut into blocks. Structure decides the clear ones: blocks of an article or main element stay, blocks of menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments go. What lies outside any article without such
 a mark is open. For open blocks the token streams outside articles of all pages of a host are taken together; their
-suffixes are grouped by their first tokens, which is the host's suffix array cut at that depth, and a suffix found on
-distinct pages marks its tokens as boilerplate. Longer repeats are chains of such suffixes. Covered tokens are removed
+suffixes are grouped by their first tokens, and a suffix found on distinct pages with distinct html marks its tokens as
+boilerplate; no suffix array is built (the README says why). Longer repeats are chains of such suffixes. Covered tokens are removed
 and unique runs stay.
 
 The groups are formed by a shuffle on (host, leading tokens) that combines before it, so a large host is no large task.
@@ -172,9 +172,9 @@ def _parse(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                     a, b = words.first[row], max(words.first[row], words.first[row + 1] - depth + 1)
                     grams.append(h[a:b].view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("page"), pa.array(texts, pa.string()),
+            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("page"), batch.column("digest"), pa.array(texts, pa.string()),
              pa.array(zones, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.string())), pa.array(grams, pa.list_(pa.int64()))],
-            ["page_id", "url", "host", "page", "text", "zones", "texts", "grams"])
+            ["page_id", "url", "host", "page", "digest", "text", "zones", "texts", "grams"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -205,17 +205,19 @@ def extract_pages(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Null and empty html give an empty text. Character references are decoded, white space inside a block becomes one
     space, blocks are joined by one line feed in page order. Markup cut off at the end counts as markup. Rows stay as
-    they are, repeats included; rows of equal id and URL are one page, so they don't make each other boilerplate. Pages
+    they are, repeats included; rows of equal id and URL are one page and rows of equal html are copies, so neither make
+    each other boilerplate. Pages
     without a host share the empty one. A host with one page has no repeats, its open blocks stay. An empty table gives
     no rows.
     """
     host, _ = split_url(F.col("url"))
     id_type = dict(pages.dtypes)["page_id"]
-    rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    shape = f"page_id {id_type}, url string, host string, page long, text string, zones array<string>, texts array<string>, grams array<long>"
+    rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("page"), F.xxhash64("html").alias("digest"), "html")
+    shape = f"page_id {id_type}, url string, host string, page long, digest long, text string, zones array<string>, texts array<string>, grams array<long>"
     parsed = store(rows.mapInArrow(lambda batches: _parse(batches, depth), shape))
-    spots = parsed.select("host", "page", F.posexplode("grams").alias("pos", "gram"))
-    repeated = spots.groupBy("host", "gram").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("host", "gram")
+    spots = parsed.select("host", "page", "digest", F.posexplode("grams").alias("pos", "gram"))
+    repeated = spots.groupBy("host", "gram").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.min("digest").alias("d_lo"), F.max("digest").alias("d_hi"))
+    repeated = repeated.where("lo <> hi and d_lo <> d_hi").select("host", "gram")
     open_ = parsed.where(F.col("text").isNull())
     open_spots = open_.select("host", "page", F.posexplode("grams").alias("pos", "gram")).distinct()
     covered = open_spots.join(store(repeated), ["host", "gram"]).groupBy("page").agg(F.collect_list("pos").alias("covered"))  # at most the page's own tokens

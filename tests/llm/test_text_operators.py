@@ -263,3 +263,10 @@ def test_html_names_do_not_drop_article_text():
     assert html_extract.blocks("<div class='layout with-sidebar'>Text<div class='sidebar'>side</div><div id='site-footer'>us</div></div>") == [
         ("o", "Text"), ("b", "side"), ("b", "us")]
     assert html_extract.blocks("<article class='comment'>me too</article>") == [("b", "me too")]
+
+
+def test_html_copies_are_no_boilerplate(spark):
+    copy, bar = "<p>ten words that stand on two copies of one page</p>", "<p>one two three four five six seven eight nine</p>"
+    rows = [(1, "http://a.org/1", copy), (2, "http://a.org/2", copy), (3, "http://b.org/3", bar + "<p>third</p>"), (4, "http://b.org/4", bar + "<p>fourth</p>")]
+    got = sorted((r["page_id"], r["text"]) for r in html_extract.extract_pages(page(spark, rows)).collect())
+    assert got == [(1, copy[3:-4]), (2, copy[3:-4]), (3, "third"), (4, "fourth")]
