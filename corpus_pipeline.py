@@ -25,9 +25,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id. Rows without an id stay."""
-    stays = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays, the one with the smallest id. Rows without an id stay.
+
+    Rows of one id with unlike texts are different documents; of rows equal in id and text one stays.
+    """
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    ids = keyed.select("_key", "doc_id").distinct()
+    first = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    kept = keyed.join(first.select("first._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -270,3 +270,13 @@ def test_html_copies_are_no_boilerplate(spark):
     rows = [(1, "http://a.org/1", copy), (2, "http://a.org/2", copy), (3, "http://b.org/3", bar + "<p>third</p>"), (4, "http://b.org/4", bar + "<p>fourth</p>")]
     got = sorted((r["page_id"], r["text"]) for r in html_extract.extract_pages(page(spark, rows)).collect())
     assert got == [(1, copy[3:-4]), (2, copy[3:-4]), (3, "third"), (4, "fourth")]
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    from corpus_pipeline import drop_near_duplicates
+
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame([(2, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (7, b, "x"), (7, c, "x"), (None, a, "x")], "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["text"]) for r in drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(2, a), (5, b), (7, c), (None, a)], key=str)
