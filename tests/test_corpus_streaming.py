@@ -144,3 +144,9 @@ def test_sliding_risk_stream_equals_batch(spark, tmp_path):
     batch = {tuple(r) for r in RU.risk_sliding(ev).select(*cols).collect()}
     stream = RU.risk_sliding(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "s")), watermark="1 day")
     assert {tuple(r) for r in _drain(stream, "slide", "update").select(*cols).collect()} == batch and len(batch) == 9
+
+
+def test_long_header_keeps_its_end(spark):
+    head = "h" * ((1 << 20) + 5) + " end"
+    docs = spark.createDataFrame([("d", f"## {head}\ntext")], "doc_id string, text string")
+    assert [r["h2"] for r in CP.markdown_sections(docs).collect()] == [head]
