@@ -11,9 +11,12 @@ from .bpe import decode_documents, encode_documents
 from .common import shared_folder, store, table
 from .html_extract import extract_pages
 from .jaccard_join import jaccard_components
+from . import language_id
 from .line_dedup import remove_repeats
 from .packing import pack_documents
+from .periodic_runs import periodic_runs
 from .pivot_topk import exact_topk
+from .source_divergence import source_divergence
 from .token_rollup import TokenRollup, counted
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
@@ -180,3 +183,65 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.compact()
     rollup.commit(0, inserts)
     return rollup.totals()
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n_row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+w AS (SELECT n_row, lang, source, unnest(t) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT n_row) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+n AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(n.total, 0) + v.v) AS p,
+  1 + (1000000000 * (kept.n + 1)) // (v.total + v.v) AS all_p
+  FROM g JOIN kept ON g.lang = kept.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - all_p) * (p - all_p)) // all_p)::BIGINT AS value FROM p WHERE n > 0 AND p > all_p),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source of a language differs from the others, and the terms it has more often than its language."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(documents.select("doc_id", "text"), language_id.train(documents))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def _with_periods(documents: DataFrame) -> DataFrame:
+    """doc_id and text, every tenth text (by the CRC of its id) made periodic from some word on."""
+    crc = "crc32(cast(cast(doc_id as string) as binary))"
+    a, p = "(_g % size(ws))", "(1 + (size(ws) - _g % size(ws)) div (3 + _g % 8))"
+    # the array is bound to a lambda's variable, so that the words are found once
+    moved = F.expr(rf"""transform(array(regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0)), ws ->
+      array_join(transform(ws, (w, i) -> if(i < {a}, w, ws[cast({a} + (i - {a}) % {p} as int)])), ' '))[0]""")
+    placed = documents.select("doc_id", "text", F.expr(f"{crc} % 10").alias("_h"), F.expr(f"{crc} div 10").alias("_g"))
+    return placed.select("doc_id", F.when(F.col("_h") == 0, moved).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, after every tenth was made periodic."""
+    found = periodic_runs(_with_periods(table(spark, sf_dir, "documents")))
+    strongest = F.expr("""aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>),
+      (best, r) -> case when best is null or r.length * best.period > best.length * r.period then r else best end)""")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    out = found.withColumn("_best", strongest)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
