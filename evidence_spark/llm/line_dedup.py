@@ -29,6 +29,15 @@ STRIDE = 64  # bounds of the passages fetched for comparison are multiples of th
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest of every ``width`` consecutive values, from windows that double."""
+    out, have = x, 1
+    while have < width:
+        step = min(have, width - have)
+        out, have = pick(out[:-step], out[step:]), have + step
+    return out
+
+
 def selected(words: Words, line: int, min_words: int) -> np.ndarray:
     """Word positions whose line hash is the smallest of a window."""
     h, valid = gram_hashes(words, line)
@@ -37,13 +46,10 @@ def selected(words: Words, line: int, min_words: int) -> np.ndarray:
         return np.empty(0, np.int64)
     h = np.where(valid, h, _NONE)
     whole = words.row[: len(words.row) - min_words + 1] == words.row[min_words - 1:]  # windows inside one text
-    at = np.flatnonzero(whole)
-    least = np.lib.stride_tricks.sliding_window_view(h, width)
-    picked = np.zeros(len(h), bool)
-    for k in range(0, len(at), 1 << 16):
-        part = at[k:k + (1 << 16)]
-        picked[part + least[part].argmin(axis=1)] = True
-    spots = np.flatnonzero(picked)
+    least = np.where(whole, sliding(h, width, np.minimum), np.uint64(0))
+    # a hash is the smallest of some window around it if the greatest of those windows' least hashes is no smaller
+    edge = np.zeros(width - 1, np.uint64)
+    spots = np.flatnonzero((sliding(np.concatenate([edge, least, edge]), width, np.maximum) >= h) & valid)
     # periodic text repeats its smallest hash: of such a chain each window keeps one, the last that it reaches
     chain = (h[spots[1:]] == h[spots[:-1]]) & (spots[1:] - spots[:-1] <= width) & (words.row[spots[1:]] == words.row[spots[:-1]])
     if not chain.any():
@@ -77,19 +83,18 @@ def fingerprints(documents: DataFrame, line: int, min_words: int) -> DataFrame:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words lo to hi of every text, as text."""
+    """Hashes of the words lo to hi of every text, for each of its spans."""
     for batch in batches:
-        out = []
-        los, his = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
         for at, data, bounds in text_chunks(batch.column("text")):
             with np.errstate(over="ignore"):
                 words = words_of(data, bounds, lower=False)
-            for row in range(len(bounds) - 1):
-                a, b = words.first[row], words.first[row + 1]
-                i, j = a + los[at + row], min(b, a + his[at + row])
-                out.append(data[bounds[row] + words.start[i]:bounds[row] + words.end[j - 1]].tobytes() if i < j else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("f_doc"), batch.column("lo"), batch.column("hi"), pa.array(out, pa.binary()).cast(pa.string())],
-                                         ["f_doc", "lo", "hi", "passage"])
+            spans = batch.column("spans").slice(at, len(bounds) - 1)
+            lo, hi = (spans.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+            row = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
+            a = np.minimum(words.first[row] + lo, words.first[row + 1])
+            b = np.maximum(a, np.minimum(words.first[row] + hi, words.first[row + 1]))
+            out = [words.hash[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("f_doc").take(pa.array(at + row)), pa.array(lo), pa.array(hi), pa.array(out, pa.binary())], ["f_doc", "lo", "hi", "passage"])
 
 
 def _digest(raw: bytes) -> int:
@@ -120,7 +125,7 @@ def _settle(batches: Iterator[pa.RecordBatch], line: int, min_words: int) -> Ite
             left = none, none, none.astype(bool)
             if len(whole):
                 known, later = (grams.values.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "later"))
-                least = np.lib.stride_tricks.sliding_window_view(h, min_words - line + 1).min(axis=1).view(np.int64)
+                least = sliding(h, min_words - line + 1, np.minimum).view(np.int64)
                 sums = np.concatenate([[0], np.cumsum(gone)])
                 open_ = sums[min_words:] - sums[:-min_words] < min_words
                 at = np.flatnonzero(open_ & np.isin(least, known))
@@ -164,7 +169,7 @@ def _delete(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
 def _matched(own: Words, found: list[dict], min_words: int) -> np.ndarray:
     gone = np.zeros(len(own.hash), bool)
     for match in found:
-        other = _own(match["passage"].encode("utf-8")).hash
+        other = np.frombuffer(match["passage"], np.uint64)
         at = match["lo"] + match["shift"]
         skip = max(0, -at)
         a = own.hash[at + skip:at + len(other)]
@@ -223,9 +228,10 @@ def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int =
     lo = F.greatest(F.lit(0), F.floor((F.col("a") - min_words) / STRIDE) * STRIDE).cast("int")
     hi = (F.ceil((F.col("b") + line + min_words) / STRIDE) * STRIDE).cast("int")
     matches = store(matches.select("doc_id", "f_doc", "shift", lo.alias("lo"), hi.alias("hi")))
-    wanted = matches.select("f_doc", "lo", "hi").distinct()
-    sources = likely(rows.select("doc_id", "text"), store(bitmap(matches.select("f_doc"))), True).select(F.col("doc_id").alias("f_doc"), "text").join(wanted, "f_doc").select("f_doc", "lo", "hi", "text")
-    passages = store(sources.mapInArrow(_passages, "f_doc long, lo int, hi int, passage string"))
+    # a text is sent once, with its spans; their bounds are multiples of the stride, so a text's length bounds them
+    wanted = matches.groupBy("f_doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    sources = likely(rows.select("doc_id", "text"), store(bitmap(matches.select("f_doc"))), True).select(F.col("doc_id").alias("f_doc"), "text").join(wanted, "f_doc")
+    passages = store(sources.select("f_doc", "spans", "text").mapInArrow(_passages, "f_doc long, lo int, hi int, passage binary"))
     found = matches.join(passages, ["f_doc", "lo", "hi"]).groupBy("doc_id").agg(
         F.collect_list(F.struct("shift", "lo", "passage")).alias("found"))  # a document's own length bounds what it can match
     grams = shared.groupBy("doc_id").agg(F.collect_set(F.struct("gram", (F.col("doc_id") > F.col("f_doc")).alias("later"))).alias("grams"))

@@ -93,7 +93,7 @@ def gram_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     count = len(words.hash)
     if count < n:
         return np.empty(0, np.uint64), np.empty(0, bool)
-    h = np.zeros(count - n + 1, np.uint64)
-    for k in range(n):
-        h = h * _R + words.hash[k:count - n + 1 + k]
+    sums = np.zeros(count + 1, np.uint64)
+    np.cumsum(words.hash * _powers(_R, count), out=sums[1:])
+    h = (sums[n:] - sums[:-n]) * _powers(_R_INVERSE, count - n + 1)
     return mix(h), words.row[: count - n + 1] == words.row[n - 1:]
