@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import store
-from .fast_bpe import encoder, small_batches
+from .fast_bpe import encoder, word_ids
+from .wordstream import text_chunks
 
 WINDOW = 2048
 END_ID = 1
@@ -141,20 +142,27 @@ def seats(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 def token_pieces(documents: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """Pieces of every document's ids with a mark of the task that made them and their rank there among equal lengths."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = int(end_id).to_bytes(4, "little")
         enc, block, ranks = encoder(path, "word"), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        for batch in small_batches(batches):
-            cols: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = memoryview(enc.raw(text or "") + end)
-                count = len(raw) // 4
-                for at in range(0, count, window):
-                    size = min(window, count - at)
-                    for col, x in zip(cols, (doc, at, size, zlib.crc32(raw[4 * at:4 * (at + size)]), count, int(ranks[size]))):
-                        col.append(x)
-                    ranks[size] += 1
-            arrays = [pa.array(c, pa.int64()) for c in cols]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(arrays[0]), block, np.int64))], NAMES)
+        for batch in batches:
+            docs = batch.column("doc_id")
+            for at, data, bounds in text_chunks(batch.column("text")):
+                ids, offsets = word_ids(enc, data, bounds)
+                raw = memoryview(np.insert(ids, offsets[1:], end_id).astype("<u4").tobytes())
+                count = np.diff(offsets) + 1  # with the end of each text
+                first = np.cumsum(count) - count
+                many = -(-count // window)
+                row = np.repeat(np.arange(len(count)), many)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * window
+                size = np.minimum(window, count[row] - start)
+                sums = [zlib.crc32(raw[4 * i:4 * (i + n)]) for i, n in zip((first[row] + start).tolist(), size.tolist())]
+                order = np.argsort(size, kind="stable")
+                heads = np.searchsorted(size[order], size[order])
+                nth = np.empty(len(size), np.int64)
+                nth[order] = np.arange(len(size)) - heads
+                nth += ranks[size]
+                ranks += np.bincount(size, minlength=window + 1)
+                columns = [start, size, np.array(sums, np.int64), count[row], nth, np.full(len(size), block, np.int64)]
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array(at + row)), *(pa.array(c, pa.int64()) for c in columns)], NAMES)
 
     NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth", "block"]
     rows = documents.select(F.col("doc_id").cast("long"), "text")
