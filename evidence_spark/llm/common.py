@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+ARROW_BATCH, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES = "8m"
 BITMAP = 1 << 22  # bits of the fixed bitmaps that keep unmatched texts out of shuffles
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches sent to Python workers are bounded by bytes, too, unless the session's setting was changed."""
+    if spark.conf.get(ARROW_BATCH) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BATCH, BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a scratch folder only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-store-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder the cluster names in ``spark.checkpoint.dir``, or a folder in the session's warehouse where it is unset."""
+    bound_batches(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored"
     return folder.rstrip("/")
 
 
@@ -28,6 +33,7 @@ def store(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

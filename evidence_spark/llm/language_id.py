@@ -181,7 +181,10 @@ def train(documents: DataFrame, documents_each: int = SAMPLE_DOCUMENTS, bytes_ea
     """
     known = documents.where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
     size = F.octet_length("text")
-    order = Window.partitionBy("lang").orderBy(F.col("size") > LONG_BYTES, F.xxhash64("doc_id"), "doc_id", "size", "digest")
+    # of a large language only a share by hash, many times the sample, is ranked
+    share = known.groupBy("lang").agg((F.lit(16.0 * documents_each) / F.count("*")).alias("share"))
+    known = known.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("share")
+    order = Window.partitionBy("lang").orderBy(F.col("size") > LONG_BYTES, F.xxhash64("doc_id", "lang"), "doc_id", "size", "digest")
     ranked = known.select("doc_id", "lang", size.alias("size"), F.xxhash64("text").alias("digest")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= documents_each)
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = store(ranked.withColumn("before", before).where(F.col("before") < bytes_each).select("doc_id", "lang", "digest").distinct())

@@ -28,7 +28,7 @@ MIN_CONTEXTS = 4  # distinct contexts in toxic documents that a feature needs
 MIN_RATIO = 6.0  # how much more often than in clean documents
 MIN_EVIDENCE = 30.0  # likelihood-ratio statistic
 STEPS = 150
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 BATCH = 2_048  # texts whose chains run side by side
 
 _WORD = re.compile(r"\w+")
@@ -280,7 +280,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
     else:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(chain)
-            for batch in small_batches(batches, BATCH):
+            for batch in small_batches(batches, BATCH, 2 << 20):
                 scores, spans = scorer.score([t or "" for t in batch.column("text").to_pylist()])
                 found = pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), found], [*names, *added])
