@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import col, nonblank, pipe_list, sval
+from ..session import materialise, small_side
 
 
 def keep_last(df: DataFrame, key: str, order) -> DataFrame:
@@ -124,25 +127,35 @@ def running_last(df: DataFrame, keys: list[str], order: str, value: Column, out:
             .withColumn(out, F.coalesce("_w", "_c")).drop("_v", "_b", "_w", "_c"))
 
 
-def substring_pairs(hay: DataFrame, hay_id: str, text: str, needles: DataFrame, needle: str,
-                    max_key: int = 64) -> DataFrame:
+def _grams(c: str, size) -> Column:
+    """Distinct substrings of ``size`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda p: F.substr(F.col(c), p, size)))
+
+
+def substring_pairs(hay: DataFrame, hay_id: str, text: str, needles: DataFrame, needle: str, n: int = 4) -> DataFrame:
     """(hay_id, needle) for every distinct needle that occurs inside a text.
 
-    An equi-join instead of a nested loop: each text is expanded into its substrings of
-    the lengths that needles really have (at most ``max_key`` of them) and joined by
-    value; a longer needle joins on its first ``max_key`` characters and is verified.
+    Texts are expanded into their n-grams only, so the rows of a text grow with its length. A needle can occur only where
+    all its n-grams do: it is anchored at the one that the fewest texts have, and verified there. Needles shorter than n
+    are their own anchors, in texts expanded by the lengths such needles have.
     """
-    n = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct()
-    n = n.withColumn("_g", F.substring("_needle", 1, max_key))
-    lengths = n.agg(F.collect_set(F.length("_g")).alias("_ls")).scalar()
-    grams = (hay.select(hay_id, F.col(text).alias("_text"))
-             .withColumn("_l", F.explode(lengths))
-             .where(F.length("_text") >= F.col("_l"))
-             .withColumn("_g", F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.length("_text") - F.col("_l") + 1),
-                 lambda p: F.substr(F.col("_text"), p, F.col("_l")))))))
-    return (grams.join(n, "_g")
-            .where((F.length("_needle") <= max_key) | F.col("_text").contains(F.col("_needle")))
+    texts = materialise(hay.select(hay_id, F.col(text).alias("_text")).where(F.col("_text") != ""))
+    places = materialise(texts.where(F.length("_text") >= n).select(hay_id, F.explode(_grams("_text", F.lit(n))).alias("_g")))
+    counts = small_side(places.groupBy("_g").agg(F.count("*").alias("_c")))
+    found = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct()
+    # most needles go at their first n-gram
+    likely = found.where(F.length("_needle") >= n).withColumn("_g", F.substring("_needle", 1, n)).join(counts, "_g", "left_semi").drop("_g")
+    grams = likely.select("_needle", F.explode(_grams("_needle", F.lit(n))).alias("_g")).join(counts, "_g", "left")
+    anchors = (grams.groupBy("_needle").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_g").alias("g"))).alias("_a"))
+               .where("_a.c > 0").select("_needle", F.col("_a.g").alias("_g")))
+    short = found.where(F.length("_needle") < n)
+    sizes = short.agg(F.collect_set(F.length("_needle"))).first()[0]  # fewer than n numbers
+    if sizes:
+        small = reduce(DataFrame.unionByName, [texts.where(F.length("_text") >= size).select(hay_id, F.explode(_grams("_text", F.lit(size))).alias("_g"))
+                                               for size in sorted(sizes)])
+        places, anchors = places.unionByName(small), anchors.unionByName(short.select("_needle", F.col("_needle").alias("_g")))
+    pairs = places.join(anchors, "_g").select(hay_id, "_needle")
+    return (pairs.join(texts, hay_id).where(F.col("_text").contains(F.col("_needle")))
             .select(hay_id, F.col("_needle").alias(needle)).distinct())
 
 

@@ -1,9 +1,9 @@
 """First-stage retrieval: lexical, sparse and dense top-k, filters and rank fusion.
 
-The scoring jobs share one shape. A document row is placed once by its key, exploded into
-(kind, term) items in that task and joined with the query items. All rows of a document stay
-in its partition, so the per-(document, query) sum needs no second exchange, and the
-rank limit leaves at most k rows per query and task to shuffle.
+The lexical and the sparse job share one shape. Documents become postings of the items that some
+question has, where they are read. A share of the documents gives every question a score that its
+results reach, and items too frequent to reach it by themselves are read only for documents that
+come near it by their rarer items. The results are exact.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions.text import first_nonblank, nonblank, sval, tokens
@@ -65,23 +65,69 @@ def identity() -> Column:
 
 # -- shared scoring job ---------------------------------------------------------------
 
-def _scored(docs: DataFrame, doc_items: Column, q_items: DataFrame, score: Column,
-            carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_key, query_id, score) for pairs with a common item.
+FIRST_SHARE = 16  # one document in so many is scored first, for the k-th scores
+_SLACK = 1e-6  # of a bound, for sums in another order
 
-    ``doc_items`` is an array of (kind, term, n); ``q_items`` has query_id, kind, term and w.
+
+def postings(docs: DataFrame, doc_items: Column, wanted: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Stored postings (doc_key, kind, term, n) of the wanted items, straight from the scan.
+
+    ``doc_items`` is an array of (kind, term, n), at most one for each item; ``wanted`` has kind and term. The wanted items
+    are matched where a document is read, so that the rest of its tokens goes into no exchange.
     """
-    placed = docs.select("doc_key", *carry, doc_items.alias("_items")).repartition("doc_key")
     # the outer form keeps Spark from evaluating the item array a second time in a filter
-    items = placed.select("doc_key", *carry, F.explode_outer("_items").alias("_i")).select(
-        "doc_key", *carry, "_i.*")
-    extra = [F.first(c).alias(c) for c in carry if c != "doc_key"]
-    return (items.join(small_side(q_items), ["kind", "term"])
-            .groupBy("doc_key", "query_id").agg(score.alias("score"), *extra))
+    rows = docs.select("doc_key", *carry, F.explode_outer(doc_items).alias("_i")).select("doc_key", *carry, "_i.*")
+    return materialise(rows.join(small_side(wanted), ["kind", "term"], "left_semi"))
+
+
+def best_documents(held: DataFrame, items: DataFrame, k: int, order: list[Column], carry: tuple[str, ...] = (),
+                   keep=None) -> DataFrame:
+    """Exact top-k rows (query_id, doc_key, score, rank) over postings, by upper bounds.
+
+    A score is the sum of ``w * n`` over a question's items and the largest ``bonus``. A share of the documents is scored
+    in full, and a question's k-th score there is a bound that no result is below. Its items, the most frequent first, are
+    then passed over as long as all of them together stay below the bound: a document with no other item can't be a result.
+    Of the rest of the documents only those whose other items reach the bound with what was passed over are completed.
+    ``keep`` filters (doc_key, query_id, carry) pairs before ranks are taken.
+    """
+    keep = keep or (lambda pairs: pairs)
+    stats = held.groupBy("kind", "term").agg(F.count("*").alias("df"), F.max("n").alias("top"))
+    own = W.partitionBy("query_id").orderBy((F.col("df") / (F.col("w") * F.col("top") + F.col("bonus"))).desc(), "kind", "term").rowsBetween(W.unboundedPreceding, 0)
+    ranked = materialise(items.join(stats, ["kind", "term"]).withColumn("run", F.sum(F.col("w") * F.col("top")).over(own) + F.max("bonus").over(own)).drop("df", "top"))
+    first = F.pmod(F.xxhash64("doc_key"), F.lit(FIRST_SHARE)) == 0
+
+    def pairs(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        # a document's postings meet in one task, so its sums need no further exchange
+        joined = rows.repartition("doc_key").join(small_side(chosen.select("query_id", "kind", "term", "w", "bonus")), ["kind", "term"])
+        return keep(joined.groupBy("doc_key", "query_id").agg(
+            F.sum(F.col("w") * F.col("n")).alias("_s"), F.max("bonus").alias("_b"), *[F.first(c).alias(c) for c in carry]))
+
+    cols = ["query_id", "doc_key", "score", *carry]
+    one = pairs(held.where(first), ranked).withColumn("score", F.col("_s") + F.col("_b")).select(*cols).where("score > 0")
+    one = materialise(top_k(one, ["query_id"], order, k).drop("rank"))
+    floors = one.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score") - _SLACK).alias("floor"))
+    cut = materialise(ranked.join(floors, "query_id", "left").withColumn("passed", F.coalesce(F.col("run") < F.col("floor"), F.lit(False))))
+    over = cut.where("passed")
+    bounds = cut.groupBy("query_id").agg(F.first("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("passed"), F.col("run"))), F.lit(0.0)).alias("rest"))
+    two = pairs(held.where(~first), cut.where("NOT passed")).join(small_side(bounds), "query_id")
+    two = materialise(two.where("floor IS NULL OR _s + _b + rest >= floor").drop("floor", "rest"))
+    more = (two.select("query_id", "doc_key").join(over.select("query_id", "kind", "term", "w", "bonus"), "query_id")
+            .join(held.select("doc_key", "kind", "term", "n"), ["doc_key", "kind", "term"])
+            .groupBy("query_id", "doc_key").agg(F.sum(F.col("w") * F.col("n")).alias("_s2"), F.max("bonus").alias("_b2")))
+    zero = F.lit(0.0)
+    two = two.join(more, ["query_id", "doc_key"], "left").withColumn(
+        "score", F.col("_s") + F.coalesce("_s2", zero) + F.greatest("_b", F.coalesce("_b2", zero)))
+    return top_k(one.unionByName(two.select(*cols).where("score > 0")), ["query_id"], order, k)
 
 
 def _items(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("term"), F.lit(1).alias("n")))
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("term"), F.lit(1.0).alias("n")))
+
+
+def _counted_items(kind: str, values: Column) -> Column:
+    """Items of a few values, counted where they repeat."""
+    return F.transform(F.array_distinct(values), lambda v: F.struct(
+        F.lit(kind).alias("kind"), v.alias("term"), F.size(F.filter(values, lambda x: x == v)).cast("double").alias("n")))
 
 
 def _query_items(queries: DataFrame, kind: str, values: Column) -> DataFrame:
@@ -106,6 +152,7 @@ def rarest_gram_pairs(vocab: DataFrame, word: str, needles: DataFrame, needle: s
                   .withColumn("_l", F.explode(all_sizes)).where(F.length("_w") >= F.col("_l"))
                   .select("_w", F.explode(grams(F.col("_w"), F.col("_l"))).alias("_g")))
     long_grams = nd.where(F.length("_nd") >= n).select("_nd", F.explode(grams(F.col("_nd"), F.lit(n))).alias("_g"))
+    word_grams = materialise(word_grams)
     counts = word_grams.join(long_grams.select("_g").distinct(), "_g").groupBy("_g").agg(F.count("*").alias("_c"))
     # a gram the vocabulary lacks has no count: such a needle occurs nowhere
     filed = (long_grams.join(counts, "_g", "left").groupBy("_nd")
@@ -148,14 +195,15 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict |
     have = set(docs.columns)
     plain = profile == "retrieval"
     values = metadata_values(VALUE_FIELDS if plain else EVAL_VALUE_FIELDS, have)
+    docs = docs.withColumn("_vals", F.transform(values, lambda v: F.lower(v)))  # a column, as a lambda reads it again and again
+    low_values = F.col("_vals")
     if plain:
-        hay = F.concat_ws(" ", F.coalesce("text", F.lit("")), values)
+        hay = F.concat_ws(" ", F.coalesce("text", F.lit("")), low_values)
     else:
-        searched = [c for c in docs.columns if c not in ("text", "doc_key", "_ord")]
+        searched = [c for c in have if c not in ("text", "doc_key", "_ord")]
         hay = F.concat_ws(" ", F.coalesce("text", F.lit("")), *[F.col(c) for c in searched])
-    low_values = F.transform(values, lambda v: F.lower(v))
     title_words = F.array_distinct(F.regexp_extract_all(F.lower(sval("title")), F.lit(K.WORD_PATTERN), F.lit(0)))
-    doc_items = F.concat(_items("w", tokens(hay, profile)), _items("v", low_values),
+    doc_items = F.concat(_items("w", tokens(hay, profile)), _counted_items("v", low_values),
                          _items("t", title_words if plain else F.array().cast("array<string>")))
     q_items = _query_items(queries, "w", tokens("query", profile))
     held = docs.select(F.explode(low_values).alias("term")).distinct()
@@ -168,16 +216,15 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict |
         q_items = q_items.unionByName(
             rarest_gram_pairs(materialise(vocab), "word", toks, "token").join(toks, "token")
             .select("query_id", F.lit("t").alias("kind"), F.col("word").alias("term")).distinct())
-    score = (F.sum(F.when(F.col("kind") == "w", 1.0).when(F.col("kind") == "v", 4.0).otherwise(0.0))
-             + F.max(F.when(F.col("kind") == "t", 2.0).otherwise(0.0)))
+    items = materialise(q_items.distinct().withColumn("w", F.when(F.col("kind") == "w", 1.0).when(F.col("kind") == "v", 4.0).otherwise(0.0))
+                        .withColumn("bonus", F.when(F.col("kind") == "t", 2.0).otherwise(0.0)))
     carry = () if plain else ("source_type", "doc_id")
     if allowed is not None:
         carry = tuple(dict.fromkeys([*carry, *FILTER_FIELDS]))
-    scored = _scored(docs, doc_items, q_items, score, carry).where("score > 0")
-    if allowed is not None:
-        scored = allowed_pairs(scored, allowed)
     ties = [F.col("doc_key").desc()] if plain else [F.col("source_type").desc(), F.col("doc_id").desc()]
-    return top_k(scored, ["query_id"], [F.col("score").desc(), *ties], k).select(
+    held = postings(docs, doc_items, items.select("kind", "term").distinct(), carry)
+    keep = (lambda pairs: allowed_pairs(pairs, allowed)) if allowed is not None else None
+    return best_documents(held, items, k, [F.col("score").desc(), *ties], carry, keep).select(
         "query_id", "doc_key", F.lit("lexical").alias("channel"), "rank", "score")
 
 
@@ -187,26 +234,23 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | N
     docs = filter_metadata(docs, filters)
     terms = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(K.WORD_PATTERN), F.lit(0)),
                      lambda t: F.length(t) > 2)
+    q_terms = materialise(queries.select("query_id", F.lit("w").alias("kind"), F.explode(tokens("query")).alias("term")).distinct())
+    wanted = small_side(q_terms.select("term").distinct())
+    # one scan: a row for each document's length (no term) and one for each wanted term
     base = docs.select("doc_key", terms.alias("_t")).withColumn("_len", F.size("_t").cast("double"))
-    q_terms = queries.select("query_id", F.explode(tokens("query")).alias("term")).distinct()
-    stats = base.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("_len").alias("avg")).alias("s")).scalar()
-    wanted = q_terms.select("term").distinct()
-    df = (base.select(F.explode(F.array_distinct("_t")).alias("term")).join(wanted, "term")
-          .groupBy("term").agg(F.count("*").cast("double").alias("df")))
-    weighted = q_terms.join(df, "term").withColumn("_s", stats).select(
-        "query_id", "term", (F.log(1.0 + (F.col("_s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-                             if idf else F.lit(1.0)).alias("w"))
-    placed = base.repartition("doc_key")
-    tf = (placed.select("doc_key", "_len", F.explode_outer("_t").alias("term"))
-          .join(small_side(weighted.withColumn("_avg", stats["avg"])), "term")
-          .groupBy("doc_key", "query_id", "term")
-          .agg(F.count("*").cast("double").alias("tf"), F.first("w").alias("w"),
-               F.first("_len").alias("_len"), F.first("_avg").alias("_avg")))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    scored = tf.groupBy("doc_key", "query_id").agg(F.sum(part).alias("score"))
+    rows = base.select("doc_key", "_len", F.explode(F.concat(F.array(F.lit("")), F.coalesce("_t", F.array().cast("array<string>")))).alias("term"))
+    found = rows.join(wanted.withColumn("_hit", F.lit(True)), "term", "left").where("_hit OR term = ''")
+    counted = materialise(found.groupBy("doc_key", "term").agg(F.count("*").cast("double").alias("tf"), F.first("_len").alias("_len")))
+    stats = counted.where("term = ''").agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("_len").alias("avg")).alias("s")).scalar()
+    held = counted.where("term <> ''").select(
+        "doc_key", F.lit("w").alias("kind"), "term",
+        (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / stats["avg"]))).alias("n"))
+    held = materialise(held)
+    df = held.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    weight = F.log(1.0 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
+    items = q_terms.join(df, "term").withColumn("_n", stats["n"]).select("query_id", "kind", "term", weight.alias("w"), F.lit(0.0).alias("bonus"))
     order = [F.round("score", 9).desc(), F.col("doc_key").asc()]
-    return top_k(scored, ["query_id"], order, k).select(
+    return best_documents(held, items, k, order).select(
         "query_id", "doc_key", F.lit("sparse").alias("channel"), "rank", "score")
 
 
@@ -233,18 +277,22 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | No
         return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "doc_key": [], "score": []})
-        q, m = (_unit(np.vstack(x.to_numpy()).astype(float)) for x in (left["_v"], right["_d"]))
-        sims = q @ m.T
-        keep = np.ones_like(sims, dtype=bool)
-        if sims.shape[1] > k:
-            kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
-            keep = sims >= kth
-        qi, di = np.nonzero(keep)
-        part = pd.DataFrame({"_q": qi, "doc_key": right["doc_key"].to_numpy()[di], "score": sims[qi, di]})
-        part = part.sort_values(["_q", "score", "doc_key"], ascending=[True, False, True]).groupby("_q", sort=False).head(k)
-        return part.assign(query_id=left["query_id"].to_numpy()[part["_q"]])[["query_id", "doc_key", "score"]]
+        keys = right["doc_key"].to_numpy(dtype=object)  # plain objects: Arrow strings in several chunks don't go back
+        qi, at, found = np.empty(0, int), np.empty(0, int), np.empty(0)
+        if len(left) and len(right):
+            q, m = (_unit(np.vstack(x.to_numpy()).astype(float)) for x in (left["_v"], right["_d"]))
+            sims = q @ m.T
+            keep = np.ones_like(sims, dtype=bool)
+            if sims.shape[1] > k:
+                keep = sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
+            qi, at = np.nonzero(keep)
+            found = sims[qi, at]
+            by_key = np.empty(len(keys), int)
+            by_key[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+            order = np.lexsort((by_key[at], -found, qi))
+            nth = np.arange(len(order)) - np.searchsorted(qi[order], qi[order])
+            qi, at, found = (x[order[nth < k]] for x in (qi, at, found))
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[qi], "doc_key": pd.Series(keys[at], dtype=object), "score": found})
 
     types = f"query_id {dict(asked.dtypes)['query_id']}, doc_key {dict(docs.dtypes)['doc_key']}, score double"
     short = dealt(asked, "query_id", "_qb", n_q, "_db", n_d).groupBy("_qb", "_db").cogroup(

@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import numpy as np
 
 from evidence_spark.operators import graph as G, questions as QN, rerank as RR, search as SE
@@ -37,8 +41,8 @@ def test_dense_blocks_agree_with_numpy(spark):
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
     sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (d / np.linalg.norm(d, axis=1, keepdims=True)).T
     want = {(i, f"k{j:03d}", r + 1) for i in range(9) for r, j in enumerate(np.argsort(-sims[i])[:4])}
-    for block in (4096, 3):
-        got = {(r["query_id"], r["doc_key"], r["rank"]) for r in SE.dense_search(qs, docs, 4, block=block).collect()}
+    for q_block, d_block in ((1024, 8192), (3, 16), (1, 3)):
+        got = {(r["query_id"], r["doc_key"], r["rank"]) for r in SE.dense_search(qs, docs, 4, query_block=q_block, doc_block=d_block).collect()}
         assert got == want
 
 
@@ -107,3 +111,31 @@ def test_graph_search_and_bfs(spark):
     seeds = spark.createDataFrame([(1, "a")], "query_id long, node_id string")
     reach = {r["node_id"]: r["hop"] for r in G.neighbors(edges, seeds, 2).collect()}
     assert reach == {"b": 1, "c": 1, "d": 2}
+
+
+def test_bounded_search_equals_scoring_every_pair(spark):
+    """Frequent words are passed over, many documents tie, and a document may be without text."""
+    rng = random.Random(12)
+    common, rare = ["alpha", "beta", "gamma"], [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(common, k=rng.randrange(4)) + rng.sample(rare, rng.randrange(5))) for _ in range(400)] + [None, ""]
+    docs = spark.createDataFrame([(f"k{i:03d}", f"d{i}", t, "s", "ticket", f"tkt_{i % 50}", "", "", "", "") for i, t in enumerate(texts)], DOC)
+    asks = ["alpha beta gamma", "alpha word1 word2 word3", "tkt_7 word5 beta", "nothing known", "word9", "alpha alpha ticket word3 word4 gamma"]
+    q = spark.createDataFrame(list(enumerate(asks)), "query_id long, query string")
+    want, bm = set(), set()
+    own = [re.findall("[a-z0-9_]+", t or "") for t in texts]
+    n, mean = len(texts), sum(map(len, own)) / (len(texts) - 1)  # a missing text has no length
+    for i, ask in enumerate(asks):
+        words = {w for w in re.findall("[a-z0-9_]+", ask) if len(w) > 2}
+        scored, sparse = [], []
+        for j, w in enumerate(own):
+            held = {*w, "ticket", f"tkt_{j % 50}"}
+            values = [v for v in ("ticket", f"tkt_{j % 50}", "s") if v in ask and v != "s"]
+            scored.append((len(words & held) + 4.0 * len(values), f"k{j:03d}"))
+            parts = [math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+                     for t in words if (tf := w.count(t)) for df in [sum(t in o for o in own)]]
+            sparse.append((-round(sum(parts), 9), f"k{j:03d}"))
+        want |= {(i, key, r + 1, s) for r, (s, key) in enumerate(sorted(scored, reverse=True)[:7]) if s > 0}
+        bm |= {(i, key, r + 1) for r, (s, key) in enumerate(sorted(sparse)[:7]) if s < 0}
+    got = SE.lexical_search(q, docs, 7).select("query_id", "doc_key", "rank", "score")
+    assert {tuple(r) for r in got.collect()} ^ want == set()
+    assert {tuple(r) for r in SE.sparse_search(q, docs, 7).select("query_id", "doc_key", "rank").collect()} ^ bm == set()
