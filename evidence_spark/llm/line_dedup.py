@@ -83,7 +83,7 @@ def fingerprints(documents: DataFrame, line: int, min_words: int) -> DataFrame:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the words lo to hi of every text, for each of its spans."""
+    """The words lo to hi of every text, as text, for each of its spans."""
     for batch in batches:
         for at, data, bounds in text_chunks(batch.column("text")):
             with np.errstate(over="ignore"):
@@ -93,8 +93,8 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
             a = np.minimum(words.first[row] + lo, words.first[row + 1])
             b = np.maximum(a, np.minimum(words.first[row] + hi, words.first[row + 1]))
-            out = [words.hash[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("f_doc").take(pa.array(at + row)), pa.array(lo), pa.array(hi), pa.array(out, pa.binary())], ["f_doc", "lo", "hi", "passage"])
+            out = [data[bounds[k] + words.start[i]:bounds[k] + words.end[j - 1]].tobytes() if i < j else b"" for k, i, j in zip(row.tolist(), a.tolist(), b.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("f_doc").take(pa.array(at + row)), pa.array(lo), pa.array(hi), pa.array(out, pa.binary()).cast(pa.string())], ["f_doc", "lo", "hi", "passage"])
 
 
 def _digest(raw: bytes) -> int:
@@ -168,8 +168,10 @@ def _delete(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
 
 def _matched(own: Words, found: list[dict], min_words: int) -> np.ndarray:
     gone = np.zeros(len(own.hash), bool)
-    for match in found:
-        other = np.frombuffer(match["passage"], np.uint64)
+    passages = [match["passage"].encode("utf-8") for match in found]
+    others = words_of(np.frombuffer(b"".join(passages), np.uint8), np.cumsum([0, *map(len, passages)]), lower=False)
+    for k, match in enumerate(found):
+        other = others.hash[others.first[k]:others.first[k + 1]]
         at = match["lo"] + match["shift"]
         skip = max(0, -at)
         a = own.hash[at + skip:at + len(other)]
@@ -231,7 +233,7 @@ def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int =
     # a text is sent once, with its spans; their bounds are multiples of the stride, so a text's length bounds them
     wanted = matches.groupBy("f_doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     sources = likely(rows.select("doc_id", "text"), store(bitmap(matches.select("f_doc"))), True).select(F.col("doc_id").alias("f_doc"), "text").join(wanted, "f_doc")
-    passages = store(sources.select("f_doc", "spans", "text").mapInArrow(_passages, "f_doc long, lo int, hi int, passage binary"))
+    passages = store(sources.select("f_doc", "spans", "text").mapInArrow(_passages, "f_doc long, lo int, hi int, passage string"))
     found = matches.join(passages, ["f_doc", "lo", "hi"]).groupBy("doc_id").agg(
         F.collect_list(F.struct("shift", "lo", "passage")).alias("found"))  # a document's own length bounds what it can match
     grams = shared.groupBy("doc_id").agg(F.collect_set(F.struct("gram", (F.col("doc_id") > F.col("f_doc")).alias("later"))).alias("grams"))
