@@ -139,10 +139,12 @@ def substring_pairs(hay: DataFrame, hay_id: str, text: str, needles: DataFrame,
     all its n-grams do: it is anchored at the one that the fewest texts have, and verified there. Needles shorter than n
     are their own anchors, in texts expanded by the lengths such needles have.
     """
+    found = materialise(needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct())
+    if found.isEmpty():
+        return hay.select(hay_id, F.col(text).cast("string").alias(needle)).where(F.lit(False))
     texts = materialise(hay.select(hay_id, F.col(text).alias("_text")).where(F.col("_text") != ""))
     places = materialise(texts.where(F.length("_text") >= n).select(hay_id, F.explode(_grams("_text", F.lit(n))).alias("_g")))
     counts = small_side(places.groupBy("_g").agg(F.count("*").alias("_c")))
-    found = needles.select(F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct()
     # most needles go at their first n-gram
     likely = found.where(F.length("_needle") >= n).withColumn("_g", F.substring("_needle", 1, n)).join(counts, "_g", "left_semi").drop("_g")
     grams = likely.select("_needle", F.explode(_grams("_needle", F.lit(n))).alias("_g")).join(counts, "_g", "left")
