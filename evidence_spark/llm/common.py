@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 ARROW_BATCH, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -37,6 +38,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def folded(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
+    """``df`` with all columns but those in ``keep`` in one struct ``rest``, and what brings the columns of ``df`` back in order.
+
+    So no column of a user's table meets the name of a helper column.
+    """
+    others = {c: f"c{i}" for i, c in enumerate(df.columns) if c not in keep}
+    rest = [F.struct(*[F.col(f"`{c}`").alias(field) for c, field in others.items()]).alias("rest")] if others else []
+    return df.select(*keep, *rest), lambda out: [out[c] if c in keep else out["rest"][others[c]].alias(c) for c in df.columns]
+
+
 def bitmap(ids: DataFrame) -> DataFrame:
     """(_word, _bits): a bitmap of ``BITMAP`` bits with those set that the ids hash to; at most BITMAP / 64 rows."""
     slots = ids.toDF("id").select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("slot"))

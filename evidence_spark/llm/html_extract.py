@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements that matter: (name, zone inside)
+    opened: Counter[str] = Counter()  # how many of each name are on the stack: closing tags of others are passed over at once
     zone, at, end = "o", 0, len(page)
 
     def flush() -> None:
@@ -117,33 +119,36 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if block:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if not block:
-                        flush()
-                    del stack[k:]
-                    zone = stack[-1][1] if stack else "o"
-                    break
+            if opened[name]:
+                if not block:
+                    flush()
+                gone = ""
+                while gone != name:
+                    gone, _ = stack.pop()
+                    opened[gone] -= 1
+                zone = stack[-1][1] if stack else "o"
             continue
         if block and stack and stack[-1][0] in ("p", "li") and (name == stack[-1][0] or stack[-1][0] == "p"):
-            stack.pop()  # an open paragraph ends where the next block starts
+            opened[stack.pop()[0]] -= 1  # an open paragraph ends where the next block starts
             zone = stack[-1][1] if stack else "o"
         if attributes.endswith("/"):
             continue
         marked = bool(attributes.strip()) and _marked(name, attributes, zone == "c")
         if name == "body":
             stack.clear()
+            opened.clear()
             zone = "o"
         elif name == "main" or (name == "article" and not marked and not any(z == "b" and n not in ("nav", "header", "div", "ul") for n, z in stack)):
-            stack.append((name, "c"))
             zone = "c"
         elif name in _GONE or marked or (name == "header" and zone != "c"):
             if not block:
                 flush()
-            stack.append((name, "b"))
             zone = "b"
-        elif name in _CONTAINERS:
+        elif name not in _CONTAINERS:
+            continue
+        if name != "body":
             stack.append((name, zone))
+            opened[name] += 1
     flush()
     return out
 
@@ -206,8 +211,7 @@ def extract_pages(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     Null and empty html give an empty text. Character references are decoded, white space inside a block becomes one
     space, blocks are joined by one line feed in page order. Markup cut off at the end counts as markup. Rows stay as
     they are, repeats included; rows of equal id and URL are one page and rows of equal html are copies, so neither make
-    each other boilerplate. Pages
-    without a host share the empty one. A host with one page has no repeats, its open blocks stay. An empty table gives
+    each other boilerplate, and of crawls of one page with unlike html each loses only its own repeats. Pages without a host share the empty one. A host with one page has no repeats, its open blocks stay. An empty table gives
     no rows.
     """
     host, _ = split_url(F.col("url"))
@@ -219,8 +223,9 @@ def extract_pages(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     repeated = spots.groupBy("host", "gram").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.min("digest").alias("d_lo"), F.max("digest").alias("d_hi"))
     repeated = repeated.where("lo <> hi and d_lo <> d_hi").select("host", "gram")
     open_ = parsed.where(F.col("text").isNull())
-    open_spots = open_.select("host", "page", F.posexplode("grams").alias("pos", "gram")).distinct()
-    covered = open_spots.join(store(repeated), ["host", "gram"]).groupBy("page").agg(F.collect_list("pos").alias("covered"))  # at most the page's own tokens
-    cut = open_.join(covered, "page", "left").select("page_id", "url", "zones", "texts", "covered")
+    open_spots = open_.select("host", "page", "digest", F.posexplode("grams").alias("pos", "gram")).distinct()
+    # at most the row's own tokens: rows of one page with unlike html have places of their own
+    covered = open_spots.join(store(repeated), ["host", "gram"]).groupBy("page", "digest").agg(F.collect_list("pos").alias("covered"))
+    cut = open_.join(covered, ["page", "digest"], "left").select("page_id", "url", "zones", "texts", "covered")
     cut = cut.mapInArrow(lambda batches: _cut(batches, depth), f"page_id {id_type}, url string, text string")
     return parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text").unionByName(cut)

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bitmap, likely, store
+from .common import bitmap, folded, likely, store
 from .fast_bpe import small_batches
 from .wordstream import Words, gram_hashes, text_chunks, words_of
 
@@ -214,12 +215,11 @@ def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int =
 
     A run is at least ``min_words`` consecutive words that also stand in a document of smaller id; words are compared one
     by one, windows left over by two 64-bit hashes. It stays in the first document that has it. Repeats inside one document are left alone. Null and empty texts, texts
-    without a repeated run and rows with a null id stay as they are; columns of ``documents`` are kept, except that one
-    named ``n_removed`` is replaced. Rows of a repeated id count as one document towards each other. An empty table gives
+    without a repeated run and rows with a null id stay as they are; columns of ``documents`` are kept whatever their names,
+    except that one named ``n_removed`` is replaced. Rows of a repeated id count as one document towards each other. An empty table gives
     no rows. A text all of whose words are deleted is left empty.
     """
-    names = [c for c in documents.columns if c not in ("n_removed", "found", "wins")]
-    rows = documents.select(*names).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows, unfold = folded(documents.withColumn("doc_id", F.col("doc_id").cast("long")).drop("n_removed"), "doc_id", "text")
     prints = store(fingerprints(rows, line, min_words))
     first = prints.groupBy("gram").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last"))
     first = store(first.where("f.doc_id < last").select("gram", F.col("f.doc_id").alias("f_doc"), F.col("f.pos").alias("f_pos")))
@@ -246,8 +246,8 @@ def remove_repeats(documents: DataFrame, min_words: int = MIN_WORDS, line: int =
     again = likely(left, store(bitmap(lead.select("win"))), True, "win").join(lead, ["gram", "win"]).where("doc_id > lo")
     again = store(again.groupBy("doc_id").agg(F.collect_set("win").alias("wins")))  # no more than the document's words
     runs = settled.where(F.size("runs") > 0).groupBy("doc_id").agg(F.collect_set(F.struct("digest", "runs")).alias("found"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
     bits = store(bitmap(settled.where(F.size("runs") > 0).select("doc_id").unionByName(again.select("doc_id"))))
-    out = likely(rows, bits, True).join(runs.join(again, "doc_id", "full"), "doc_id", "left").select(*names, "found", "wins")
-    out = out.mapInArrow(lambda batches: _delete(batches, min_words), f"{fields}, n_removed long")
-    return out.unionByName(likely(rows, bits, False).withColumn("n_removed", F.lit(0).cast("long")))
+    out = likely(rows, bits, True).join(runs.join(again, "doc_id", "full"), "doc_id", "left").select(*rows.columns, "found", "wins")
+    out = out.mapInArrow(lambda batches: _delete(batches, min_words), StructType([*rows.schema.fields, StructField("n_removed", LongType())]))
+    out = out.unionByName(likely(rows, bits, False).withColumn("n_removed", F.lit(0).cast("long")))
+    return out.select(*unfold(out), "n_removed")

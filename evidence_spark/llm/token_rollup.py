@@ -80,9 +80,12 @@ class TokenRollup:
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of everything committed; groups that came to nothing are left out."""
         version, folded = self._base()
-        folders = [f for k, f in sorted(self._complete("deltas").items()) if k not in folded]
+        return self._sums(version, [f for k, f in sorted(self._complete("deltas").items()) if k not in folded])
+
+    def _sums(self, version: int, folders: list[str]) -> DataFrame:
+        """Totals of a base and the deltas in ``folders``."""
         if version:
-            folders.append(f"{self.path}/base/v={version}")
+            folders = [*folders, f"{self.path}/base/v={version}"]
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*folders)
@@ -90,9 +93,15 @@ class TokenRollup:
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> int:
-        """Fold all committed batches into a new base; returns its version. Readers switch when it is complete."""
+        """Fold all committed batches into a new base; returns its version. Readers switch when it is complete.
+
+        Batches are listed once: one committed meanwhile is neither in the new base nor among its ids, and stays a delta.
+        One process compacts at a time; commits of different ids may go on beside it. Commits of one id at the same time
+        are not supported.
+        """
         version, folded = self._base()
-        ids = sorted(folded | set(self._complete("deltas")))
+        fresh = {k: f for k, f in self._complete("deltas").items() if k not in folded}
+        ids = sorted(folded | set(fresh))
         self.spark.createDataFrame([(i,) for i in ids], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded/v={version + 1}")
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/base/v={version + 1}")
+        self._sums(version, [fresh[k] for k in sorted(fresh)]).write.mode("overwrite").parquet(f"{self.path}/base/v={version + 1}")
         return version + 1

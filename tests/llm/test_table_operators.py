@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import sys
@@ -159,3 +160,50 @@ def test_pipeline_stages(spark):
         assert 0 < kept.count() <= docs.count(), name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
     assert corpus_pipeline.run(spark, sf_dir).count() >= 100
+
+
+def test_hub_of_a_star_keeps_its_links(spark):
+    """5,000 noisy copies around one vector link with it and not with each other; so do 300 around a second hub."""
+    rng, dim, rows = np.random.default_rng(5), 64, []
+    for label, count in (("a", 5000), ("a", 300)):
+        hub = rng.normal(size=dim)
+        hub /= np.linalg.norm(hub)
+        side = rng.normal(size=(count, dim))
+        side -= np.outer(side @ hub, hub)
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        leaves = 0.981 * hub + np.sqrt(1 - 0.981 ** 2) * side
+        rows += [(len(rows) + i, v.tolist(), label) for i, v in enumerate([hub, *leaves])]
+    got = {r["vec_id"]: r for r in vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert [got[i]["n_links"] for i in range(len(rows))] == want.tolist()
+    assert {got[i]["component_id"] for i in range(5001)} == {0} and {got[i]["component_id"] for i in range(5001, 5302)} == {5001}
+
+
+def test_cosines_of_double_columns_are_double(spark):
+    a = np.zeros(4)
+    a[0] = 1.0
+    near = [0.98 + 1e-12, math.sqrt(1 - (0.98 + 1e-12) ** 2), 0.0, 0.0]
+    far = [0.98 - 1e-12, 0.0, math.sqrt(1 - (0.98 - 1e-12) ** 2), 0.0]
+    rows = [(1, a.tolist(), 0), (2, near, 0), (3, far, 0)]
+    got = {r["vec_id"]: r["n_links"] for r in vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
+def test_batch_committed_during_compaction_counts_once(spark):
+    after = "named_struct('source', 's', 'lang', 'en', 'tokenizer', 't', 'n_tokens', 6L) as after"
+    change = spark.range(1).selectExpr("cast(null as struct<source:string,lang:string,tokenizer:string,n_tokens:bigint>) as before", after)
+
+    class Racing(TokenRollup):
+        def _sums(self, version, folders):
+            if not getattr(self, "raced", False):
+                self.raced = True
+                TokenRollup(spark, self.path).commit("late", change)
+            return super()._sums(version, folders)
+
+    path = f"{shared_folder(spark)}/rollup-race-{random.random()}"
+    rollup = Racing(spark, path)
+    rollup.commit("early", change)
+    rollup.compact()
+    assert [tuple(r) for r in TokenRollup(spark, path).totals().collect()] == [("s", "en", "t", 2, 12)]

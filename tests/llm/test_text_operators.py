@@ -280,3 +280,52 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark):
     docs = spark.createDataFrame([(2, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (7, b, "x"), (7, c, "x"), (None, a, "x")], "doc_id long, text string, lang string")
     got = [(r["doc_id"], r["text"]) for r in drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(2, a), (5, b), (7, c), (None, a)], key=str)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage, "a", 1, 2, 3, 4.0), (2, "own words " + passage, "b", 5, 6, 7, 8.0), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string, wins int, _slot int, _word int, `odd name` double")
+    out = line_dedup.remove_repeats(docs)
+    assert out.columns == [*docs.columns, "n_removed"]
+    want = [(1, passage, "a", 1, 2, 3, 4.0, 0), (2, "own words", "b", 5, 6, 7, 8.0, 60), (None, None, None, None, None, None, None, 0)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_html_crawls_of_one_page_keep_their_own_text(spark):
+    lone = " ".join(f"w{i}" for i in range(13))
+    shared = " ".join(f"s{i}" for i in range(13))
+    rows = [(1, "http://h.org/a", f"<div>{shared}</div><div>{lone}</div>"), (1, "http://h.org/a", f"<div>{lone} again</div><div>first</div>"),
+            (2, "http://h.org/b", f"<div>{shared}</div><div>other</div>")]
+    got = sorted(r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == sorted([lone, lone + " again\nfirst", "other"])
+
+
+def test_html_stray_closing_tags_take_linear_time():
+    import time
+    start = time.perf_counter()
+    assert html_extract.blocks("<div>" * 50000 + "text" + "</span>" * 50000 + "</section>" * 50000 + "</div>" * 50000) == [("o", "text")]
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "line_dedup", "near_duplicates"])
+def test_pipeline_stages_keep_columns_of_any_name(spark, stage, tmp_path):
+    import corpus_pipeline
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, f"clean words number {i} stand here alone", 40, f"x{i}", 0.5, i, i) for i in range(1, 30)]
+    rows += [(30, "awful vile words", 16, "x30", 0.5, 30, 30), (31, None, None, "x31", None, 31, 31), (32, "", 0, "x32", 0.5, 32, 32),
+             (40, passage, len(passage), "x40", 0.5, 40, 40), (41, passage, len(passage), "x41", 0.5, 41, 41), (41, passage, len(passage), "x41", 0.5, 41, 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string, score double, _key long, n_removed long")
+    labels = spark.createDataFrame([(i, int(i == 30), 1) for i in range(1, 33)], "doc_id long, toxic int, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert out.dtypes == docs.dtypes
+    got = out.collect()
+    assert all(r["_key"] == r["n_removed"] == r["doc_id"] and r["spans"] == f"x{r['doc_id']}" for r in got)
+    ids = sorted(r["doc_id"] for r in got)
+    if stage == "line_dedup":
+        assert ids == [*range(1, 33), 40]
+    if stage == "near_duplicates":
+        assert ids == [*range(1, 33), 40]
+    empty = dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(0), str(tmp_path))
+    assert empty.dtypes == docs.dtypes and empty.count() == 0
