@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.text import dashed, pipe_list, sval
 from ..operators import documents as D, quality as Q, relational as R, risk as RK, support as S
-from ..sources.index import upsert_rows
+from ..sources.index import upsert_index, upsert_rows
+from ..session import new_folder
 from ..specs import SUPPORT
 from .registry import SHARED, any_term, in_list, ln, lns, query
 
@@ -373,7 +374,7 @@ def _(r):
 # -- index upsert ---------------------------------------------------------------------
 
 SHARED["index_rows"] = f"""
-SELECT concat('line::', CAST(l_orderkey AS STRING), '::', CAST(l_linenumber AS STRING)) AS key, l_partkey AS ord, l_suppkey AS sup, l_quantity AS q, concat('Line of order ', CAST(l_orderkey AS STRING),
+SELECT concat('line::', CAST(l_orderkey AS STRING), '::', CAST(l_linenumber AS STRING)) AS key, l_partkey AS ord, l_suppkey AS sup, l_quantity AS q, l_returnflag AS flag, concat('Line of order ', CAST(l_orderkey AS STRING),
   ' holds the part ', CAST(l_partkey AS STRING), ' and was shipped by the supplier ', CAST(l_suppkey AS STRING)) AS text FROM lineitem"""
 
 
@@ -382,11 +383,26 @@ SELECT key AS source_chunk_id, text, concat(substr(h, 1, 8), '-', substr(h, 9, 4
   lower(to_hex((('0x' || substr(h, 17, 2))::INT & 63) | 128)), substr(h, 19, 2), '-', substr(h, 21, 12)) AS point_id FROM (
   SELECT key, arg_max(text, (ord, sup, q)) AS text, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(key)) AS h FROM index_rows GROUP BY key)""")
 def _(r):
-    rows = r["lineitem"].select(
+    return upsert_rows(_lines(r["lineitem"])).select("source_chunk_id", "text", "point_id")
+
+
+def _lines(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.concat(F.lit("line::"), F.col("l_orderkey").cast("string"), F.lit("::"), F.col("l_linenumber").cast("string")).alias("doc_id"),
         F.struct("l_partkey", "l_suppkey", "l_quantity").alias("_ord"), F.concat(F.lit("Line of order "), F.col("l_orderkey").cast("string"), F.lit(" holds the part "),
                  F.col("l_partkey").cast("string"), F.lit(" and was shipped by the supplier "), F.col("l_suppkey").cast("string")).alias("text"))
-    return upsert_rows(rows).select("source_chunk_id", "text", "point_id")
+
+
+@query("index_merge", """
+SELECT key AS source_chunk_id, concat(arg_max(text, (back, ord, sup, q)), CASE WHEN max(back) = 1 THEN ' and came back' ELSE '' END) AS text
+FROM (SELECT key, ord, sup, q, text, 0 AS back FROM index_rows
+  UNION ALL SELECT key, ord, sup, q, text, 1 AS back FROM index_rows WHERE flag = 'R') GROUP BY key""")
+def _(r):
+    """All lines are written, then those that came back once more with another text."""
+    lines, path = r["lineitem"], new_folder(r["lineitem"].sparkSession, "index")
+    upsert_index(_lines(lines), path)
+    back = _lines(lines.where("l_returnflag = 'R'")).withColumn("text", F.concat("text", F.lit(" and came back")))
+    return upsert_index(back, path).select("source_chunk_id", "text")
 
 
 # -- analytics ------------------------------------------------------------------------

@@ -67,6 +67,11 @@ def _store_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{_store_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def materialise(df):
     """Store a result as a table in the shared folder and return the table, cutting the lineage.
 

@@ -1,5 +1,7 @@
 import uuid
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.text import pipe_list, uuid5_dns
@@ -70,3 +72,41 @@ def test_uuid5_and_index_upsert(spark, tmp_path):
     assert upsert_index(first, path).count() == 2
     upsert_index(first.where("doc_id = 'a'").withColumn("text", F.lit("z" * 60)), path)
     assert {r["doc_id"]: r["text"][0] for r in read_index(spark, path).collect()} == {"a": "z", "b": "y"}
+
+
+def test_index_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    docs = spark.createDataFrame([(i, f"d{i}", f"{i} " + "x" * 60, "t") for i in range(200)], "_ord long, doc_id string, text string, source_type string")
+    upsert_index(docs, path, buckets=16)
+
+    def files():
+        return {f.rsplit("bucket_no=", 1)[1].split("/")[0]: f for f in read_index(spark, path).inputFiles()}
+
+    before = files()
+    extra = docs.where("doc_id = 'd7'").withColumn("text", F.lit("new " * 20)).withColumn("lang", F.lit("en"))
+    assert upsert_index(extra, path).count() == 200
+    after = files()
+    assert len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
+    got = {r["doc_id"]: (r["text"], r["lang"]) for r in read_index(spark, path).collect()}
+    assert got["d7"] == ("new " * 20, "en") and got["d8"] == ("8 " + "x" * 60, None)
+    assert read_index(spark, path, 0).where("text like 'new%'").count() == 0
+    assert upsert_index(docs.limit(0), path).count() == 200
+
+
+def test_index_version_is_taken_once(spark, tmp_path, monkeypatch):
+    from evidence_spark.sources import index
+    path = str(tmp_path / "ix")
+    docs = spark.createDataFrame([(1, "a", "x" * 60), (2, "b", "y" * 60)], "_ord long, doc_id string, text string")
+    upsert_index(docs, path)
+    commit = index._commit
+
+    def late(*args):
+        monkeypatch.setattr(index, "_commit", commit)
+        upsert_index(docs.where("doc_id = 'a'").withColumn("text", F.lit("first " * 20)), path)
+        return commit(*args)
+
+    monkeypatch.setattr(index, "_commit", late)
+    with pytest.raises(index.LostRace):
+        upsert_index(docs.where("doc_id = 'a'").withColumn("text", F.lit("second " * 20)), path)
+    assert {r["doc_id"]: r["text"][:5] for r in read_index(spark, path).collect()} == {"a": "first", "b": "yyyyy"}
+    assert index.latest_version(spark, path) == 1
