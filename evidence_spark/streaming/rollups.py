@@ -40,17 +40,20 @@ def request_stats(requests: DataFrame, window: str = "1 hour", watermark: str |
         F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"))
 
 
-def risk_sliding(signals: DataFrame, days: int = 7, step: str = "1 day", watermark: str | None = None) -> DataFrame:
+def risk_sliding(signals: DataFrame, days: int = 7, step: str = "1 day", watermark: str | None = None, panes: bool | None = None) -> DataFrame:
     """Trailing signal counts per customer over sliding windows.
 
-    signals come from ``operators.risk.signals`` or any stream with the same columns.
+    signals come from ``operators.risk.signals`` or any stream with the same columns. With ``panes`` the rows of a customer
+    are first summed per step, and only the sums are put into the windows they belong to, so a busy customer's rows are not
+    multiplied. That is how tables are counted. A stream sums in one stage unless ``panes`` is set: two chained stages
+    need a watermark and the append mode. ``days`` must be a whole number of steps.
     """
     df = _timed(signals, "at", watermark)
-
-    def n(c):
-        return F.sum(F.when(c, 1).otherwise(0))
-
-    return df.groupBy(F.window("at", f"{days} days", step).alias("window"), "customer_id").agg(
-        n(F.col("source_type") == "ticket").alias("tickets"), n(F.col("critical")).alias("critical"),
-        n(F.col("escalation")).alias("escalation"), n(F.col("login")).alias("login"), n(F.col("api")).alias("api"),
-        n(F.col("refund")).alias("refund"), n(F.col("negative")).alias("negative"))
+    flags = ["critical", "escalation", "login", "api", "refund", "negative"]
+    ones = {"tickets": F.col("source_type") == "ticket", **{c: F.col(c) for c in flags}}
+    sums = [F.sum(F.when(c, 1).otherwise(0)).alias(name) for name, c in ones.items()]
+    wide = f"{days} days"
+    if not (not signals.isStreaming if panes is None else panes):
+        return df.groupBy(F.window("at", wide, step).alias("window"), "customer_id").agg(*sums)
+    pane = df.groupBy(F.window("at", step).alias("pane"), "customer_id").agg(*sums)
+    return pane.groupBy(F.window(F.window_time("pane"), wide, step).alias("window"), "customer_id").agg(*[F.sum(c).alias(c) for c in ones])

@@ -150,3 +150,24 @@ def test_long_header_keeps_its_end(spark):
     head = "h" * ((1 << 20) + 5) + " end"
     docs = spark.createDataFrame([("d", f"## {head}\ntext")], "doc_id string, text string")
     assert [r["h2"] for r in CP.markdown_sections(docs).collect()] == [head]
+
+
+def test_sliding_panes_equal_single_stage(spark, tmp_path):
+    """2,000 signals of one customer and a few of others, with nulls; panes count like rows put into every window."""
+    ev = spark.range(2000).select(
+        F.when(F.col("id") % 10 < 7, "busy").when(F.col("id") % 10 < 9, F.concat(F.lit("c"), F.col("id") % 13)).alias("customer_id"),
+        F.when(F.col("id") % 3 == 0, "ticket").otherwise("risk_event").alias("source_type"),
+        F.timestamp_seconds(1704067200 + F.col("id") * 1777).alias("at"),
+        *[F.when(F.col("id") % (k + 4) != 1, F.col("id") % (k + 2) == 0).alias(c) for k, c in enumerate(["critical", "escalation", "login", "api", "refund", "negative"])])
+    ev.write.parquet(str(tmp_path / "s"))
+    for days in (7, 30):
+        panes, single = RU.risk_sliding(ev, days), RU.risk_sliding(ev, days, panes=False)
+        assert panes.dtypes == single.dtypes
+        want = {tuple(r) for r in single.collect()}
+        assert {tuple(r) for r in panes.collect()} == want and len(want) > 40
+    want = {tuple(r) for r in RU.risk_sliding(ev).collect()}
+    stream = RU.risk_sliding(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "s")), watermark="1 day", panes=True)
+    got = [tuple(r) for r in _drain(stream, "panes", "append").collect()]
+    assert len(got) == len(set(got)) > 0 and set(got) <= want
+    closed = ev.agg(F.date_trunc("day", F.max("at") - F.expr("interval 1 day"))).first()[0]
+    assert set(got) == {w for w in want if w[0]["end"] <= closed}
