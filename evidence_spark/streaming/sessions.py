@@ -14,7 +14,6 @@ from ..operators.relational import top_k
 
 HISTORY = 6
 TURN = StructType([StructField("turn", LongType()), StructField("role", StringType()), StructField("content", StringType())])
-OUT = StructType([StructField("session_id", LongType()), *TURN.fields])
 
 
 def clean_turns(turns: DataFrame) -> DataFrame:
@@ -45,7 +44,7 @@ class KeepLast(StatefulProcessor):
             held = sorted(held, key=lambda t: t[0])[-self.n:]
         held = [(int(t), r, c) for t, r, c in held]
         self.turns.put(held)
-        yield pd.DataFrame([(int(key[0]), *t) for t in held], columns=["session_id", "turn", "role", "content"])
+        yield pd.DataFrame([(key[0], *t) for t in held], columns=["session_id", "turn", "role", "content"])
 
     def close(self) -> None:
         pass
@@ -55,7 +54,8 @@ def stream_session_history(turns: DataFrame, n: int = HISTORY, ttl_ms: int | Non
     """Streaming twin of ``session_history``; needs the RocksDB state store provider.
 
     Every touched session emits its current history; the last emission per session equals
-    the batch result.
+    the batch result. Sessions keep the type of their id.
     """
+    shape = StructType([StructField("session_id", turns.schema["session_id"].dataType), *TURN.fields])
     return (clean_turns(turns).select("session_id", "turn", "role", "content").groupBy("session_id")
-            .transformWithStateInPandas(KeepLast(n, ttl_ms), OUT, "Update", "None" if ttl_ms is None else "ProcessingTime"))
+            .transformWithStateInPandas(KeepLast(n, ttl_ms), shape, "Update", "None" if ttl_ms is None else "ProcessingTime"))

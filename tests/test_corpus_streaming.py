@@ -171,3 +171,12 @@ def test_sliding_panes_equal_single_stage(spark, tmp_path):
     assert len(got) == len(set(got)) > 0 and set(got) <= want
     closed = ev.agg(F.date_trunc("day", F.max("at") - F.expr("interval 1 day"))).first()[0]
     assert set(got) == {w for w in want if w[0]["end"] <= closed}
+
+
+def test_session_stream_takes_text_ids(spark, tmp_path):
+    turns = spark.createDataFrame([(f"s-{i % 2}", i, "user", f"q{i}") for i in range(20)], "session_id string, turn long, role string, content string")
+    turns.write.parquet(str(tmp_path / "t"))
+    stream = SS.stream_session_history(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "t")))
+    assert stream.schema["session_id"].dataType.simpleString() == "string"
+    got = {tuple(r) for r in _drain(stream, "named", "update").collect()}
+    assert got == {tuple(r) for r in SS.session_history(turns).select("session_id", "turn", "role", "content").collect()} and len(got) == 12
