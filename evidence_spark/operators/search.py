@@ -169,13 +169,16 @@ def metadata_values(fields: list[str], have) -> Column:
     return F.array_compact(F.array(*[nonblank(f) for f in fields if f in have]))
 
 
+ID_FILTERS = FILTER_FIELDS[1:]
+
+
 def allowed_pairs(scored: DataFrame, allowed: DataFrame) -> DataFrame:
     """Keep pairs inside each question's own filters.
 
     ``allowed`` has query_id, source_types (empty means any) and the four id fields (NULL
     means any). Runs before the rank limit, so the top k is taken among allowed documents.
     """
-    ids = ["customer_id", "ticket_id", "service_id", "product_id"]
+    ids = ID_FILTERS
     rules = small_side(allowed.select("query_id", "source_types", *[F.col(f).alias(f"_f_{f}") for f in ids]))
     ok = (F.size("source_types") == 0) | F.array_contains("source_types", F.col("source_type"))
     for f in ids:
@@ -229,28 +232,34 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict |
 
 
 def sparse_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | None = None,
-                  idf: bool = True, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 over term postings. ``idf=False`` weights all terms alike."""
+                  idf: bool = True, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 over term postings. ``idf=False`` weights all terms alike.
+
+    ``allowed`` holds each question's own filters (see ``allowed_pairs``); term weights and lengths are those of all ``docs``.
+    """
+    carry = tuple(FILTER_FIELDS) if allowed is not None else ()
     docs = filter_metadata(docs, filters)
     terms = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(K.WORD_PATTERN), F.lit(0)),
                      lambda t: F.length(t) > 2)
     q_terms = materialise(queries.select("query_id", F.lit("w").alias("kind"), F.explode(tokens("query")).alias("term")).distinct())
     wanted = small_side(q_terms.select("term").distinct())
     # one scan: a row for each document's length (no term) and one for each wanted term
-    base = docs.select("doc_key", terms.alias("_t")).withColumn("_len", F.size("_t").cast("double"))
-    rows = base.select("doc_key", "_len", F.explode(F.concat(F.array(F.lit("")), F.coalesce("_t", F.array().cast("array<string>")))).alias("term"))
+    base = docs.select("doc_key", *carry, terms.alias("_t")).withColumn("_len", F.size("_t").cast("double"))
+    rows = base.select("doc_key", *carry, "_len", F.explode(F.concat(F.array(F.lit("")), F.coalesce("_t", F.array().cast("array<string>")))).alias("term"))
     found = rows.join(wanted.withColumn("_hit", F.lit(True)), "term", "left").where("_hit OR term = ''")
-    counted = materialise(found.groupBy("doc_key", "term").agg(F.count("*").cast("double").alias("tf"), F.first("_len").alias("_len")))
+    counted = materialise(found.groupBy("doc_key", "term").agg(
+        F.count("*").cast("double").alias("tf"), F.first("_len").alias("_len"), *[F.first(c).alias(c) for c in carry]))
     stats = counted.where("term = ''").agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("_len").alias("avg")).alias("s")).scalar()
     held = counted.where("term <> ''").select(
-        "doc_key", F.lit("w").alias("kind"), "term",
+        "doc_key", *carry, F.lit("w").alias("kind"), "term",
         (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / stats["avg"]))).alias("n"))
     held = materialise(held)
     df = held.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weight = F.log(1.0 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
     items = q_terms.join(df, "term").withColumn("_n", stats["n"]).select("query_id", "kind", "term", weight.alias("w"), F.lit(0.0).alias("bonus"))
     order = [F.round("score", 9).desc(), F.col("doc_key").asc()]
-    return best_documents(held, items, k, order).select(
+    keep = (lambda pairs: allowed_pairs(pairs, allowed)) if allowed is not None else None
+    return best_documents(held, items, k, order, carry, keep).select(
         "query_id", "doc_key", F.lit("sparse").alias("channel"), "rank", "score")
 
 
@@ -261,15 +270,21 @@ DOC_BLOCK = 8192
 
 
 def dense_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | None = None,
-                 query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
+                 query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK, allowed: DataFrame | None = None) -> DataFrame:
     """Exact cosine top-k of every question over all documents.
 
+    ``allowed`` holds each question's own filters (see ``allowed_pairs``); ``docs`` then carries the filter fields, and the
+    k rows are taken among a question's own documents. A question without a row there finds nothing.
+
     Questions and documents are dealt by hash into blocks of about these sizes, and every
     pair of blocks is one matrix product in a task. Nothing passes the driver but two
     counts. A pair gives k rows per question, which Spark's rank limit merges.
     """
-    docs = filter_metadata(docs, filters).select("doc_key", F.col("embedding").alias("_d"))
+    fields = FILTER_FIELDS if allowed is not None else []
+    docs = filter_metadata(docs, filters).select("doc_key", *fields, F.col("embedding").alias("_d"))
     asked = queries.select("query_id", F.col("embedding").alias("_v"))
+    if allowed is not None:
+        asked = materialise(asked.join(allowed.select("query_id", "source_types", *[F.col(f).alias(f"_f_{f}") for f in ID_FILTERS]), "query_id"))
     n_q, n_d = max(1, -(-asked.count() // query_block)), max(1, -(-docs.count() // doc_block))
 
     def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
@@ -282,9 +297,11 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | No
         if len(left) and len(right):
             q, m = (_unit(np.vstack(x.to_numpy()).astype(float)) for x in (left["_v"], right["_d"]))
             sims = q @ m.T
-            keep = np.ones_like(sims, dtype=bool)
+            mine = _permitted(left, right) if fields else np.ones_like(sims, dtype=bool)
+            sims[~mine] = -np.inf
+            keep = mine
             if sims.shape[1] > k:
-                keep = sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
+                keep = mine & (sims >= -np.partition(-sims, k - 1, axis=1)[:, k - 1:k])
             qi, at = np.nonzero(keep)
             found = sims[qi, at]
             by_key = np.empty(len(keys), int)
@@ -301,6 +318,22 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, filters: dict | No
         "query_id", "doc_key", F.lit("dense").alias("channel"), "rank", "score")
 
 
+def _permitted(asked: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
+    """Which documents of a block each question's filters admit; equal filters are tested once."""
+    out = np.ones((len(asked), len(docs)), dtype=bool)
+    rules = [(tuple(t), *ids) for t, *ids in zip(asked["source_types"], *[asked[f"_f_{f}"] for f in ID_FILTERS])]
+    rows: dict[tuple, list[int]] = {}
+    for i, rule in enumerate(rules):
+        rows.setdefault(tuple(None if v is None or v != v else v for v in rule), []).append(i)
+    for (types, *ids), at in rows.items():
+        ok = docs["source_type"].isin(types).to_numpy() if types else np.ones(len(docs), dtype=bool)
+        for field, value in zip(ID_FILTERS, ids):
+            if value is not None:
+                ok = ok & (docs[field] == value).to_numpy(dtype=bool, na_value=False)
+        out[at] = ok
+    return out
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)

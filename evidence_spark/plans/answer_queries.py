@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import evidence as EV, graph as G, metrics as M, questions as QN
+from ..operators import chunking as C, corpus as CP, evidence as EV, graph as G, metrics as M, questions as QN, search as SE
+from ..session import materialise
 from .asking import ask, staged_retrieval
 from .registry import SHARED, in_list, query, sql_list
-from .retrieval_queries import _corpus, _lex, ids, ret
+from .retrieval_queries import _corpus, _lex, ids, overlap_score, ret
 
 AS_OF = "2024-02-15 00:00:00"
 joined = lambda c: F.array_join(c, "|")
@@ -188,17 +189,32 @@ def _(r):
     return EV.evidence_breakdown(_evidence(r))
 
 
+def _leaf_corpus(r):
+    """Sections of the corpus as parents and their leaves as what is searched."""
+    parents = r.shared("corpus_parents", lambda: CP.split_sections(_corpus(r)))
+    about = _corpus(r).select(F.col("doc_id").alias("origin_doc_id"), *[c for c in ["path", "url", *SE.VALUE_FIELDS] if c in r["corpus"].columns])
+    leaves = r.shared("corpus_leaves", lambda: C.build_leaves(parents).select(
+        F.col("leaf_id").alias("doc_key"), "doc_id", "text", "node_type", "leaf_id", "chunk_id", "parent_id", "origin_doc_id", "source").join(about, "origin_doc_id"))
+    return parents, leaves
+
+
 @query("staged_retrieval")
 def _(r):
-    hits = _lex(r, 24)
-    return staged_retrieval(r["questions"], hits, _corpus(r), 4).select("query_id", "doc_id", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
+    parents, leaves = _leaf_corpus(r)
+    vectors = leaves.select("doc_key", F.concat(F.lit("document:doc_"), F.substring_index("origin_doc_id", "::", -1)).alias("_of")) \
+        .join(r["doc_vectors"].withColumnRenamed("doc_key", "_of"), "_of")  # a leaf has its document's vector
+    dense = SE.dense_search(r["question_vectors"], vectors, 24)
+    lexical = SE.lexical_search(r["questions"], leaves, 24)
+    hits = materialise(SE.rrf_fuse(dense, SE.sparse_or_lexical(materialise(SE.sparse_search(r["questions"], leaves, 24)), lexical), 24))
+    out = staged_retrieval(r["questions"], hits, leaves, 4, parents, overlap_score)
+    return out.select("query_id", "doc_id", "node_type", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query("ask_two_pass")
 def _(r):
-    nodes = r.shared("ask_nodes", lambda: G.build_nodes(r.support("customers", "accounts", "tickets", "risk_events", "service_catalog")))
-    edges = r.shared("ask_edges", lambda: G.build_edges(r.support("customers", "accounts", "tickets", "risk_events", "service_catalog"), nodes))
-    out = ask(r["questions"], _corpus(r), nodes, edges, as_of=AS_OF, k=5, depth=1)
+    nodes = r.shared("ask_nodes", lambda: G.build_nodes(r.support()))
+    edges = r.shared("ask_edges", lambda: G.build_edges(r.support(), nodes))
+    out = ask(r["questions"], _corpus(r), nodes, edges, as_of=AS_OF, k=5, depth=1, vectors=(r["question_vectors"], r["doc_vectors"]))
     return out.select("query_id", "intent", "attempts", "level", F.round("score", 6).alias("score"), "confidence", "answer")
 
 

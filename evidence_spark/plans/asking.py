@@ -21,8 +21,7 @@ def staged_retrieval(queries: DataFrame, hits: DataFrame, docs: DataFrame, k: in
     cands = materialise(RR.with_doc_fields(RR.intent_prefilter(cands, analyzed, k)))
     first = _or_first(RR.heuristic_rerank(cands, analyzed, deep), cands, deep)
     if parents is not None:
-        first = materialise(first)
-        merged = RR.merge_parents(first, parents, max_results=deep).withColumnRenamed("rank", "cand_rank")
+        merged = materialise(RR.merge_parents(first, parents, max_results=deep).withColumnRenamed("rank", "cand_rank"))
         first = _or_first(RR.heuristic_rerank(merged, analyzed, max(6, k)), merged, max(6, k))
     if model is not None:
         first = RR.model_rerank(first, queries, 2 * k, model)
@@ -35,20 +34,33 @@ def staged_retrieval(queries: DataFrame, hits: DataFrame, docs: DataFrame, k: in
 def _or_first(ranked: DataFrame, cands: DataFrame, k: int) -> DataFrame:
     """The re-ranked rows, or the first k candidates of queries that lost all rows."""
     cols = ["query_id", "rank", *RR.DOC_FIELDS, "rerank_score"]
+    ranked = materialise(ranked.select(*cols))  # read twice here
     left = cands.join(ranked.select("query_id").distinct(), "query_id", "left_anti").withColumn("rerank_score", F.lit(None).cast("double"))
     spare = top_k(left, ["query_id"], [F.col("cand_rank")], k, "rank")
-    return ranked.select(*cols).unionByName(spare.select(*cols))
+    return materialise(ranked.unionByName(spare.select(*cols)))
 
 
-def hybrid_hits(plan: DataFrame, docs: DataFrame, k: int, dense: DataFrame | None = None) -> DataFrame:
-    """Fused top-k documents per planned question, inside each question's own filters."""
+def hybrid_hits(plan: DataFrame, docs: DataFrame, k: int, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Fused top-k documents per planned question, inside each question's own filters.
+
+    The sparse list is that of BM25; a question that finds nothing there takes its lexical list. ``vectors`` are the questions'
+    (query_id, embedding) and the documents' (doc_key, embedding); without them the dense list is empty, as it is for a
+    question or a document without a vector.
+    """
+    wide = max(4 * k, 12)
     texts = plan.select("query_id", F.col("search_text").alias("query"))
-    hits = SE.lexical_search(texts, docs, max(4 * k, 12), allowed=plan)
-    return SE.rrf_fuse(hits.where("false") if dense is None else dense, hits, k)
+    sparse = materialise(SE.sparse_search(texts, docs, wide, allowed=plan))
+    bare = texts.join(sparse.select("query_id").distinct(), "query_id", "left_anti")
+    hits = sparse.unionByName(SE.lexical_search(bare, docs, wide, allowed=plan))
+    if vectors is None:
+        return SE.rrf_fuse(hits.where("false"), hits, k)
+    held = vectors[1].join(docs.select("doc_key", *SE.FILTER_FIELDS), "doc_key")
+    return SE.rrf_fuse(SE.dense_search(vectors[0], held, wide, allowed=plan), hits, k)
 
 
-def ask_once(plan: DataFrame, queries: DataFrame, docs: DataFrame, context: DataFrame, nodes: DataFrame, as_of, k: int) -> dict[str, DataFrame]:
-    hits = hybrid_hits(plan, docs, k)
+def ask_once(plan: DataFrame, queries: DataFrame, docs: DataFrame, context: DataFrame, nodes: DataFrame, as_of, k: int,
+             vectors: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+    hits = materialise(hybrid_hits(plan, docs, k, vectors))
     fields = [c for c in SE.VALUE_FIELDS if c in docs.columns] + ["doc_id", "path"]
     texts = docs.select("doc_key", "text", EV.metadata_map(fields).alias("metadata"))
     vector = EV.evidence_from_hits(hits.select("query_id", "doc_key", "rank").join(texts, "doc_key"))
@@ -57,15 +69,16 @@ def ask_once(plan: DataFrame, queries: DataFrame, docs: DataFrame, context: Data
 
 
 def ask(queries: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame, as_of, k: int = 5, depth: int = 2,
-        base_source_types: list[str] | None = None) -> DataFrame:
+        base_source_types: list[str] | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Answers for a whole question table; only low-evidence questions get a second pass.
 
-    A second pass replaces the first when its score is at least as high.
+    A second pass replaces the first when its score is at least as high. ``vectors`` (see ``hybrid_hits``) add the dense
+    channel; a rewritten question keeps its vector.
     """
     plan = materialise(QN.plan_retrieval(queries, base_source_types))
     matched = materialise(G.search_nodes(nodes, queries, k))
     context = materialise(G.graph_context(nodes, edges, queries, k, depth, matched)["nodes"])
-    one = ask_once(plan, queries, docs, context, nodes, as_of, k)
+    one = ask_once(plan, queries, docs, context, nodes, as_of, k, vectors)
     weak = one["sufficiency"].where("level = 'low'").select("query_id", "missing_source_types")
     again = materialise(QN.expand_plan(plan.join(weak, "query_id"), protected=()))
     suff = one["sufficiency"].withColumn("attempt", F.lit(1))
@@ -77,7 +90,7 @@ def ask(queries: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame,
         reworded = again.select("query_id", F.col("search_text").alias("query"))
         seeds = materialise(G.search_nodes(nodes, reworded, k))
         near = materialise(G.graph_context(nodes, edges, reworded, k, depth, seeds)["nodes"])
-        two = ask_once(again, retried, docs, near, nodes, as_of, k)
+        two = ask_once(again, retried, docs, near, nodes, as_of, k, vectors)
         suff = suff.unionByName(two["sufficiency"].withColumn("attempt", F.lit(2)))
         evidence = evidence.unionByName(two["evidence"].withColumn("attempt", F.lit(2)))
     tries = suff.groupBy("query_id").agg(F.max("attempt").alias("attempts"))

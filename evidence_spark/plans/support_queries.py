@@ -9,7 +9,8 @@ from ..functions.text import dashed, pipe_list, sval
 from ..operators import documents as D, quality as Q, relational as R, risk as RK, support as S
 from ..sources.index import upsert_index, upsert_rows
 from ..session import new_folder
-from ..specs import SUPPORT
+from ..specs import BANKING, SUPPORT
+from .bindings import BANKING_TABLES
 from .registry import SHARED, any_term, in_list, ln, lns, query
 
 joined = lambda c: F.array_join(c, "|")
@@ -153,23 +154,33 @@ def _(r):
     return Q.check_corpus(r["tickets"], "tickets", "ticket_id", "tags", expected)
 
 
-def _spec_sql():
+def _spec_sql(spec, views):
+    """One statement for each rule of a domain; ``views`` names the view of a table where it is not the table's own."""
     parts = []
-    for t in SUPPORT.tables:
-        parts.append(f"""SELECT '{t.name}' AS table_name, CAST(_ord AS BIGINT) AS line, 'blank_key' AS rule,
-  concat('{t.name}:', _ord, ': missing {t.key}') AS message FROM {t.name} WHERE trim({t.key}) = ''""")
-        parts.append(f"""SELECT '{t.name}', CAST(_ord AS BIGINT), 'duplicate_key', concat('{t.name}:', _ord, ': duplicate {t.key} ''', {t.key}, ''' (first seen on line ', f, ')')
-  FROM (SELECT _ord, {t.key}, min(_ord) OVER (PARTITION BY {t.key}) AS f FROM {t.name}) WHERE _ord > f""")
+    for t in spec.tables:
+        view, text = views.get(t.name, t.name), f"SELECT '{spec.name}' AS domain, '{t.name}' AS table_name, CAST(_ord AS BIGINT) AS line, "
+        at = f"concat('{t.name}:', _ord, ': "
+        parts.append(f"{text}'blank_key' AS rule, {at}missing {t.key}') AS message FROM {view} WHERE trim({t.key}) = ''")
+        parts.append(f"""{text}'duplicate_key', {at}duplicate {t.key} ''', {t.key}, ''' (first seen on line ', f, ')')
+  FROM (SELECT _ord, {t.key}, min(_ord) OVER (PARTITION BY {t.key}) AS f FROM {view}) WHERE _ord > f""")
         for col, dst, key in t.foreign_keys:
-            parts.append(_fk_sql(t.name, col, dst, key))
+            if spec.report_blank_fk:
+                parts.append(f"{text}'blank_fk', {at}missing foreign key {col}') FROM {view} WHERE trim({col}) = ''")
+            parts.append(f"""{text}'dangling_fk', {at}invalid foreign key {col}=''', trim({col}), ''' -> {dst}.{key}') FROM {view}
+  WHERE {f"trim({col}) <> '' AND " if spec.report_blank_fk else ""}trim({col}) NOT IN (SELECT trim({key}) FROM {views.get(dst, dst)} WHERE trim({key}) <> '')""")
+        for col, dst, key in t.list_keys:
+            parts.append(f"""{text}'dangling_list_id', {at}invalid {col} value ''', v, '''') FROM (SELECT _ord, trim(unnest(string_split({col}, '|'))) AS v FROM {view})
+  WHERE v <> '' AND v NOT IN (SELECT trim({key}) FROM {views.get(dst, dst)})""")
         if t.text:
-            parts.append(f"""SELECT '{t.name}', CAST(_ord AS BIGINT), 'empty_document', concat('{t.name}:', {t.key}, ': empty content') FROM {t.name} WHERE trim({t.text}) = ''""")
+            parts.append(f"{text}'empty_document', concat('{t.name}:', {t.key}, ': empty content') FROM {view} WHERE trim({t.text}) = ''")
     return " UNION ALL ".join(parts)
 
 
-@query("validation_report", _spec_sql())
+@query("validation_report", _spec_sql(SUPPORT, {}) + " UNION ALL " + _spec_sql(BANKING, BANKING_TABLES))
 def _(r):
-    return Q.validation_report(r.support(), SUPPORT)
+    both = [(SUPPORT, r.support()), (BANKING, r.banking())]
+    parts = [Q.validation_report(tables, spec).select(F.lit(spec.name).alias("domain"), "*") for spec, tables in both]
+    return parts[0].unionByName(parts[1])
 
 
 @query("dup_document_ids", """
@@ -305,9 +316,31 @@ _TX = "concat(t.transaction_id, ' - ', amount_usd, ' ', currency, ' - ', transac
 
 
 @query("banking_documents", f"""
-SELECT concat('banking_fraud::fraud_alert::', a.alert_id) AS id, {lns('Fraud Alert', ('Alert ID', 'a.alert_id'), ('Alert type', 'alert_type'),
+SELECT concat('banking_fraud::customer::', c.customer_id) AS id, {lns('Banking Customer', ('Customer ID', 'c.customer_id'), ('Name', 'full_name'),
+    ('Segment', 'c.segment'), ('Region', 'c.region'), ('Risk tier', 'risk_tier'), ('KYC status', 'kyc_status'), ('Accounts', 'ac'),
+    ('Recent transactions', 'tx'), ('Fraud alerts', 'al'), ('AML cases', 'cs'))} AS text FROM banking_customers c
+LEFT JOIN {_agg("concat_ws(' - ', account_id, account_type, status)", 'banking_accounts', 'customer_id', 'ac')} a ON c.customer_id = a.k_
+LEFT JOIN {_agg(_TX, '(SELECT t.*, merchant_name FROM banking_transactions t LEFT JOIN banking_merchants m ON t.merchant_id = m.merchant_id) t', 'customer_id', 'tx').replace('m.merchant_name', 'merchant_name')} t ON c.customer_id = t.k_
+LEFT JOIN {_agg("concat_ws(' - ', alert_id, alert_type, severity)", 'banking_alerts', 'customer_id', 'al')} l ON c.customer_id = l.k_
+LEFT JOIN {_agg("concat_ws(' - ', case_id, case_type, status)", 'banking_cases', 'customer_id', 'cs')} s ON c.customer_id = s.k_
+UNION ALL
+SELECT concat('banking_fraud::account::', account_id), {lns('Banking Account', ('Account ID', 'account_id'), ('Customer ID', 'customer_id'),
+    ('Type', 'account_type'), ('Status', 'status'), ('Balance USD', 'balance_usd'), ('Online banking enabled', 'online_banking_enabled'))} FROM banking_accounts
+UNION ALL
+SELECT concat('banking_fraud::transaction::', transaction_id), {lns('Banking Transaction', ('Transaction ID', 'transaction_id'), ('Customer ID', 'customer_id'),
+    ('Account ID', 'account_id'), ('Merchant', 'merchant_name'), ('Merchant risk', 'risk_level'), ('Amount USD', 'amount_usd'), ('Type', 'transaction_type'),
+    ('Channel', 'channel'), ('Country', 't.country'), ('IP country', 'ip_country'), ('Status', 'status'), ('Created at', 'created_at'))}
+FROM banking_transactions t LEFT JOIN banking_merchants m ON t.merchant_id = m.merchant_id
+UNION ALL
+SELECT concat('banking_fraud::merchant::', merchant_id), {lns('Banking Merchant', ('Merchant ID', 'merchant_id'), ('Name', 'merchant_name'),
+    ('Category', 'category'), ('Country', 'country'), ('Risk level', 'risk_level'))} FROM banking_merchants
+UNION ALL
+SELECT concat('banking_fraud::policy::', policy_id), concat_ws(chr(10), 'Banking Fraud Policy', concat('Policy ID: ', policy_id), concat('Title: ', title),
+    concat('Path: ', path), nullif(trim(content, ' ' || chr(9) || chr(10) || chr(13)), '')) FROM banking_policies
+UNION ALL
+SELECT concat('banking_fraud::fraud_alert::', a.alert_id), {lns('Fraud Alert', ('Alert ID', 'a.alert_id'), ('Alert type', 'alert_type'),
     ('Severity', 'severity'), ('Status', 'a.status'), ('Rule', 'rule_name'), ('Summary', 'summary'), ('Recommended action', 'recommended_action'),
-    ('Transaction', 'x.tx'))} AS text FROM banking_alerts a
+    ('Transaction', 'x.tx'))} FROM banking_alerts a
 LEFT JOIN (SELECT t.transaction_id, {_TX} AS tx FROM banking_transactions t LEFT JOIN banking_merchants m ON t.merchant_id = m.merchant_id) x ON a.transaction_id = x.transaction_id
 UNION ALL
 SELECT concat('banking_fraud::aml_case::', c.case_id), {lns('AML Case', ('Case ID', 'c.case_id'), ('Customer ID', 'customer_id'), ('Account ID', 'account_id'),
@@ -316,8 +349,7 @@ SELECT concat('banking_fraud::aml_case::', c.case_id), {lns('AML Case', ('Case I
 LEFT JOIN (SELECT case_id, string_agg(b.summary, ', ' ORDER BY x.p) AS ls FROM (SELECT case_id, unnest(list_transform(string_split(linked_alert_ids, '|'),
     lambda v, i: {{'v': v, 'p': i}})) AS x FROM banking_cases) JOIN banking_alerts b ON x.v = b.alert_id GROUP BY 1) l ON c.case_id = l.case_id""")
 def _(r):
-    docs = D.build_documents(K.BANKING_DOMAIN, r.banking(), True)
-    return docs.where(F.col("metadata.source_type").isin("fraud_alert", "aml_case")).select("id", "text")
+    return D.build_documents(K.BANKING_DOMAIN, r.banking(), True).select("id", "text")
 
 
 _CLEAN = ["(?s)\\A---\\s*\\n.*?\\n---\\s*\\n?", "(?s)\\{%\\s*data.*?%\\}", "(?s)\\{%\\s*.*?%\\}", "(?s)\\{\\{.*?\\}\\}", "(?s)<!--.*?-->"]
