@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import chunking as C, corpus as CP, evidence as EV, graph as G, metrics as M, questions as QN, search as SE
 from ..session import materialise
-from .asking import ask, staged_retrieval
+from .asking import ask, sparse_hits, staged_retrieval
 from .registry import SHARED, in_list, query, sql_list
 from .retrieval_queries import _corpus, _lex, ids, overlap_score, ret
 
@@ -204,8 +204,7 @@ def _(r):
     vectors = leaves.select("doc_key", F.concat(F.lit("document:doc_"), F.substring_index("origin_doc_id", "::", -1)).alias("_of")) \
         .join(r["doc_vectors"].withColumnRenamed("doc_key", "_of"), "_of")  # a leaf has its document's vector
     dense = SE.dense_search(r["question_vectors"], vectors, 24)
-    lexical = SE.lexical_search(r["questions"], leaves, 24)
-    hits = materialise(SE.rrf_fuse(dense, SE.sparse_or_lexical(materialise(SE.sparse_search(r["questions"], leaves, 24)), lexical), 24))
+    hits = materialise(SE.rrf_fuse(dense, sparse_hits(r["questions"], leaves, 24), 24))
     out = staged_retrieval(r["questions"], hits, leaves, 4, parents, overlap_score)
     return out.select("query_id", "doc_id", "node_type", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
 

@@ -40,6 +40,15 @@ def _or_first(ranked: DataFrame, cands: DataFrame, k: int) -> DataFrame:
     return materialise(ranked.unionByName(spare.select(*cols)))
 
 
+def sparse_hits(texts: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 rows, and lexical rows of the questions that BM25 leaves without any; no lexical job where there is none."""
+    sparse = materialise(SE.sparse_search(texts, docs, k, allowed=allowed))
+    bare = materialise(texts.select("query_id", "query").join(sparse.select("query_id").distinct(), "query_id", "left_anti"))
+    if not bare.limit(1).count():
+        return sparse
+    return sparse.unionByName(SE.lexical_search(bare, docs, k, allowed=allowed))
+
+
 def hybrid_hits(plan: DataFrame, docs: DataFrame, k: int, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Fused top-k documents per planned question, inside each question's own filters.
 
@@ -49,9 +58,7 @@ def hybrid_hits(plan: DataFrame, docs: DataFrame, k: int, vectors: tuple[DataFra
     """
     wide = max(4 * k, 12)
     texts = plan.select("query_id", F.col("search_text").alias("query"))
-    sparse = materialise(SE.sparse_search(texts, docs, wide, allowed=plan))
-    bare = texts.join(sparse.select("query_id").distinct(), "query_id", "left_anti")
-    hits = sparse.unionByName(SE.lexical_search(bare, docs, wide, allowed=plan))
+    hits = sparse_hits(texts, docs, wide, plan)
     if vectors is None:
         return SE.rrf_fuse(hits.where("false"), hits, k)
     held = vectors[1].join(docs.select("doc_key", *SE.FILTER_FIELDS), "doc_key")
