@@ -21,6 +21,7 @@ HIT_FIELDS = ["source_type", "entity_id", "title", "customer_id", "ticket_id", "
 def _evidence(r):
     """Evidence of one question per customer: its tickets as hits, its neighbourhood as nodes."""
     def build():
+        r.hold("tickets")
         hits = r["customer_hits"].withColumn("metadata", EV.metadata_map(HIT_FIELDS))
         nodes = G.build_nodes(r.support("customers", "accounts", "tickets", "risk_events"), teams=[])
         return EV.merge_evidence(EV.evidence_from_hits(hits), EV.evidence_from_nodes(r["customer_nodes"], nodes))
@@ -211,8 +212,9 @@ def _(r):
 
 @query("ask_two_pass")
 def _(r):
+    r.hold("tickets")
     nodes = r.shared("ask_nodes", lambda: G.build_nodes(r.support()))
-    edges = r.shared("ask_edges", lambda: G.build_edges(r.support(), nodes))
+    edges = G.build_edges(r.support())
     out = ask(r["questions"], _corpus(r), nodes, edges, as_of=AS_OF, k=5, depth=1, vectors=(r["question_vectors"], r["doc_vectors"]))
     return out.select("query_id", "intent", "attempts", "level", F.round("score", 6).alias("score"), "confidence", "answer")
 

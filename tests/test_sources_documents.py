@@ -102,3 +102,28 @@ def test_eval_cases(spark):
     got = load_eval_cases(raw).orderBy("_ord").collect()
     assert got[0]["case_id"] == "case-001-what-is-sla" and got[0]["expected_sources"] == ["A"] and got[0]["expected_documents"] == ["doc"]
     assert got[1]["case_id"] == "c9"
+
+
+def test_edges_and_nodes_of_repeated_keys(spark):
+    """Without given nodes the edges are those between all nodes of the tables, repeated rows and missing ends included."""
+    tickets = spark.createDataFrame(
+        [(1, "tkt_1", "cust_1", "prod_1", "svc_1", "SLA breach", "a", "Team A"), (2, "tkt_1", "cust_2", "prod_9", "svc_1", "Later title", "b", "Team  A"),
+         (3, "tkt_2", "cust_1", "", "svc_9", "Other", "c", "")],
+        "_ord long, ticket_id string, customer_id string, product_id string, service_id string, title string, description string, assigned_team string").selectExpr(
+        "*", "'' AS category", "'' AS priority", "'' AS severity", "'' AS status", "'' AS sla_status", "'sla' AS tags", "'' AS channel")
+    customers = spark.createDataFrame([(1, "cust_1", "acct_1", "Ann"), (2, "cust_2", "acct_x", "Bob")], "_ord long, customer_id string, account_id string, full_name string")
+    products = spark.createDataFrame([(1, "prod_1", "One", "Team A", "Team A")], "_ord long, product_id string, product_name string, support_owner_team string, engineering_owner_team string")
+    policies = spark.createDataFrame([(1, "pol_sla", "Policy guide", "P", "prod_1", "svc_1")], "_ord long, policy_id string, title string, owner_team string, product_id string, service_id string")
+    solved = spark.createDataFrame([(1, "res_1", "tkt_1", "fix", "pol_sla", "gh_1"), (2, "res_2", "tkt_8", "fix", "pol_sla", "gh_2"), (3, "res_3", "tkt_1", "fix", "pol_sla", "gh_1")],
+                                   "_ord long, resolution_id string, ticket_id string, resolution_type string, linked_policy_id string, linked_issue_id string").selectExpr("*", "'' AS summary", "'' AS resolved_at")
+    issues = spark.createDataFrame([(1, "gh_1", "Issue", "tkt_1|tkt_7", "Team A")], "_ord long, issue_id string, title string, linked_ticket_ids string, assignee_team string")
+    tables = {"customers": customers, "products": products, "tickets": tickets, "knowledge_base_docs": policies, "ticket_resolutions": solved, "github_issues": issues}
+    nodes = G.build_nodes(tables)
+    got = {r["node_id"]: (r["label"], r["properties"]) for r in nodes.collect()}
+    assert nodes.count() == len(got) and got["Ticket:tkt_1"][0] == "Later title" and got["Ticket:tkt_1"][1]["customer_id"] == "cust_2"
+    assert got["Team:Team_A"][0] == "Team A"  # the owners of issues come after those of tickets
+    want = {(r["src"], r["dst"], r["edge_type"]): r["properties"] for r in G.build_edges(tables, nodes).collect()}
+    rows = G.build_edges(tables).collect()
+    assert len(rows) == len(want) and {(r["src"], r["dst"], r["edge_type"]): r["properties"] for r in rows} == want
+    assert want[("Ticket:tkt_1", "Policy:pol_sla", "HAS_RESOLUTION")]["resolution_id"] == "res_1"
+    assert ("Ticket:tkt_1", "GitHubIssue:gh_1", "RELATED_TO_ISSUE") in want and ("Ticket:tkt_8", "Policy:pol_sla", "HAS_RESOLUTION") not in want
