@@ -93,3 +93,17 @@ def test_rank_metrics_and_gate(spark):
     assert m["document"]["queries_evaluated"] == 0 and m["document"]["mrr"] is None
     gate = M.quality_gate(spark.createDataFrame([(0.7, None)], "recall_at_5 double, source_type_hit_rate double")).collect()
     assert [g["passed"] for g in gate] == [True, False]
+
+
+def test_snippets_are_chosen_once(spark):
+    q = spark.createDataFrame([(1, "sla breach of tkt_1"), (2, "nothing")], "query_id long, query string")
+    ev = spark.createDataFrame([(1, 1, "Ticket:tkt_1", "Title: x\nThe SLA breach is near. tkt_1 waits.", {"entity_id": "tkt_1"}, "vector", "ticket", "T"),
+                                (1, 2, "Ticket:tkt_2", "", {"ticket_id": "tkt_2"}, "graph", "ticket", "U")],
+                               "query_id long, pos long, id string, text string, metadata map<string,string>, context_source string, source_type string, title string")
+    cites = EV.citations(q, ev)
+    assert "regexp" not in cites._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["index"], r["snippet"], r["claim_index"], r["entity_id"]) for r in cites.orderBy("index").collect()] == [
+        (1, "The SLA breach is near.", 1, "tkt_1"), (2, "", None, "tkt_2")]
+    keys = spark.createDataFrame([({"source_type": "Ticket", "entity_id": "tkt_1", "customer_id": "c"},), ({"customer_id": "c", "account_id": "a"},),
+                                  ({"source_type": "other", "entity_id": "x", "ticket_id": "t"},), ({"kg_node_id": "Team:a", "ticket_id": "t"},), ({},)], "metadata map<string,string>")
+    assert [r[0] for r in keys.select(EV.canonical_id()).collect()] == ["Ticket:tkt_1", "Customer:c", "", "Team:a", ""]
