@@ -95,7 +95,7 @@ def test_rank_metrics_and_gate(spark):
     assert [g["passed"] for g in gate] == [True, False]
 
 
-def test_snippets_are_chosen_once(spark):
+def test_snippets_are_chosen_once_and_blocks_travel_once(spark):
     q = spark.createDataFrame([(1, "sla breach of tkt_1"), (2, "nothing")], "query_id long, query string")
     ev = spark.createDataFrame([(1, 1, "Ticket:tkt_1", "Title: x\nThe SLA breach is near. tkt_1 waits.", {"entity_id": "tkt_1"}, "vector", "ticket", "T"),
                                 (1, 2, "Ticket:tkt_2", "", {"ticket_id": "tkt_2"}, "graph", "ticket", "U")],
@@ -104,6 +104,10 @@ def test_snippets_are_chosen_once(spark):
     assert "regexp" not in cites._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["index"], r["snippet"], r["claim_index"], r["entity_id"]) for r in cites.orderBy("index").collect()] == [
         (1, "The SLA breach is near.", 1, "tkt_1"), (2, "", None, "tkt_2")]
+    blocks = EV.context_blocks(ev)
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    text = blocks.first()["context_text"]
+    assert text.index("[1] T") < text.index("[2] U") and text.startswith("Enterprise evidence context\n\n[1]")
     keys = spark.createDataFrame([({"source_type": "Ticket", "entity_id": "tkt_1", "customer_id": "c"},), ({"customer_id": "c", "account_id": "a"},),
                                   ({"source_type": "other", "entity_id": "x", "ticket_id": "t"},), ({"kg_node_id": "Team:a", "ticket_id": "t"},), ({},)], "metadata map<string,string>")
     assert [r[0] for r in keys.select(EV.canonical_id()).collect()] == ["Ticket:tkt_1", "Customer:c", "", "Team:a", ""]
