@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evidence_spark.operators import relational as R, search as SE
+from evidence_spark.operators import graph as G, relational as R, search as SE
 from evidence_spark.plans import asking, retrieval_queries as RQ
 
 FIELDS = ["source_type", "customer_id", "ticket_id", "service_id", "product_id"]
@@ -70,3 +70,15 @@ def test_no_gram_of_a_word_is_stored(spark, monkeypatch):
 
 def test_fusion_makes_no_lexical_job_where_bm25_finds_rows():
     assert RQ.sparse_hits is asking.sparse_hits
+
+
+def test_nodes_with_the_same_tokens_are_scored_k_times(spark, monkeypatch):
+    counts, real = [], G.best_documents
+    monkeypatch.setattr(G, "best_documents", lambda held, *a, **b: (counts.append(held.select("doc_key").distinct().count()), real(held, *a, **b))[1])
+    nodes = spark.range(200).select(
+        F.format_string("n%03d", "id").alias("node_id"), F.lit("T").alias("node_type"), F.when(F.col("id") == 150, "login loop").otherwise("x").alias("label"),
+        F.when(F.col("id") == 150, "a login loop").otherwise("loop of login").alias("text"), F.create_map(F.lit("k"), F.lit("v")).alias("properties"))
+    q = spark.createDataFrame([(1, "login loop"), (2, "loop of")], "query_id long, query string")
+    got = {(r.query_id, r.rank): (r.node_id, r.score) for r in G.search_nodes(nodes, q, 2).collect()}
+    assert got == {(1, 1): ("n150", 11), (1, 2): ("n000", 2), (2, 1): ("n000", 7), (2, 2): ("n001", 7)}
+    assert counts[0] <= 4
