@@ -82,3 +82,27 @@ def test_nodes_with_the_same_tokens_are_scored_k_times(spark, monkeypatch):
     got = {(r.query_id, r.rank): (r.node_id, r.score) for r in G.search_nodes(nodes, q, 2).collect()}
     assert got == {(1, 1): ("n150", 11), (1, 2): ("n000", 2), (2, 1): ("n000", 7), (2, 2): ("n001", 7)}
     assert counts[0] <= 4
+
+
+def test_expansion_from_tables_stores_no_edges(spark, monkeypatch):
+    """The edges of the tables met hop by hop; unknown seeds and unknown ends lead nowhere, repeated rows count once."""
+    tickets = spark.createDataFrame(
+        [(1, "tkt_1", "cust_1", "prod_1", "svc_1", "SLA breach", "Team A"), (2, "tkt_1", "cust_2", "prod_9", "svc_1", "Later", "Team  A"), (3, "tkt_2", "cust_1", "", "svc_9", "Other", "")],
+        "_ord long, ticket_id string, customer_id string, product_id string, service_id string, title string, assigned_team string").selectExpr(
+        "*", "'' AS description", "'' AS category", "'' AS priority", "'' AS severity", "'' AS status", "'' AS sla_status", "'sla' AS tags", "'' AS channel")
+    tables = {
+        "tickets": tickets,
+        "customers": spark.createDataFrame([(1, "cust_1", "acct_1", "Ann"), (2, "cust_2", "acct_x", "Bob")], "_ord long, customer_id string, account_id string, full_name string"),
+        "products": spark.createDataFrame([(1, "prod_1", "One", "Team A", "Team A")], "_ord long, product_id string, product_name string, support_owner_team string, engineering_owner_team string"),
+        "knowledge_base_docs": spark.createDataFrame([(1, "pol_sla", "Guide", "P", "prod_1", "svc_1")], "_ord long, policy_id string, title string, owner_team string, product_id string, service_id string"),
+        "ticket_resolutions": spark.createDataFrame([(1, "res_1", "tkt_1", "pol_sla", "gh_1"), (2, "res_2", "tkt_8", "pol_sla", "gh_2")], "_ord long, resolution_id string, ticket_id string, linked_policy_id string, linked_issue_id string")
+        .selectExpr("*", "'' AS summary", "'' AS resolved_at", "'' AS resolution_type"),
+        "github_issues": spark.createDataFrame([(1, "gh_1", "Issue", "tkt_1|tkt_7", "Team A")], "_ord long, issue_id string, title string, linked_ticket_ids string, assignee_team string")}
+    seeds = spark.createDataFrame([(1, "Customer:cust_1"), (1, "Ticket:tkt_1"), (2, "Ticket:tkt_8"), (3, "Team:Team_A"), (4, "Policy:pol_sla"), (5, "Account:acct_x")], "query_id long, node_id string")
+    edges = G.build_edges(tables).localCheckpoint()
+    stored, real = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df: (stored.append(df.columns), real(df))[1])
+    rows = [tuple(r) for r in G.table_neighbors(tables, seeds, 3).select("query_id", "node_id", "hop").collect()]
+    assert stored and not [c for c in stored if "dst" in c]
+    reach = {tuple(r) for r in G.neighbors(edges, seeds, 3).select("query_id", "node_id", "hop").collect()}
+    assert len(rows) == len(reach) and set(rows) == reach and {r[0] for r in reach} == {1, 3, 4}
