@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evidence_spark.operators import graph as G, relational as R, search as SE
+from evidence_spark.operators import chunking as C, graph as G, relational as R, search as SE
 from evidence_spark.plans import asking, retrieval_queries as RQ
 
 FIELDS = ["source_type", "customer_id", "ticket_id", "service_id", "product_id"]
@@ -106,3 +106,21 @@ def test_expansion_from_tables_stores_no_edges(spark, monkeypatch):
     assert stored and not [c for c in stored if "dst" in c]
     reach = {tuple(r) for r in G.neighbors(edges, seeds, 3).select("query_id", "node_id", "hop").collect()}
     assert len(rows) == len(reach) and set(rows) == reach and {r[0] for r in reach} == {1, 3, 4}
+
+
+def test_short_texts_are_chunked_where_they_are_read(spark, monkeypatch):
+    """Only sources of several units are numbered by windows; long texts, repeated and missing ones are chunked whole."""
+    seen, real = [], C.ordinal
+    monkeypatch.setattr(C, "ordinal", lambda df, *a: (seen.append(sorted({r.doc_id for r in df.select("doc_id").collect()})), real(df, *a))[1])
+    note = "A note about the login loop, with enough words in it to be kept as a chunk, number "
+    rows = [(f"d{i}", "other", note + str(i)) for i in range(50)] + [("long", "other", note * 400), ("none", "other", None), ("same", "a", note), ("same", "b", note + "two"), ("md", "github_docs", f"# A\n{note}\n# B\n{note}")]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string").selectExpr("*", "'text' AS source_type", "'' AS title", "'' AS path")
+    got = {}
+    for r in C.chunk_corpus(docs).orderBy("chunk_index").collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_index, r.start_index, r.text))
+    assert seen == [["md", "same"]]
+    assert all(got[f"d{i}"] == [(0, 0, note + str(i))] for i in range(50)) and "none" not in got
+    whole = note * 400
+    assert [c[0] for c in got["long"]] == list(range(len(got["long"]))) and len(got["long"]) > 100
+    assert all(whole[at:at + len(text)] == text for _, at, text in got["long"]) and got["long"][-1][1] + len(got["long"][-1][2]) >= len(whole) - 80
+    assert [c[0] for c in got["same"]] == [0, 1] and [c[0] for c in got["md"]] == [0, 1]
