@@ -124,3 +124,16 @@ def test_short_texts_are_chunked_where_they_are_read(spark, monkeypatch):
     assert [c[0] for c in got["long"]] == list(range(len(got["long"]))) and len(got["long"]) > 100
     assert all(whole[at:at + len(text)] == text for _, at, text in got["long"]) and got["long"][-1][1] + len(got["long"][-1][2]) >= len(whole) - 80
     assert [c[0] for c in got["same"]] == [0, 1] and [c[0] for c in got["md"]] == [0, 1]
+
+
+def test_only_parents_of_candidates_reach_the_merge(spark, monkeypatch):
+    seen, real = [], asking.RR.merge_parents
+    monkeypatch.setattr(asking.RR, "merge_parents", lambda hits, parents, **a: (seen.append(parents.count()), real(hits, parents, **a))[1])
+    text = "How the login loop is left, "
+    parents = spark.range(500).selectExpr("concat('p', id) AS parent_id", "id AS parent_index", f"concat('{text}', id) AS text", "concat('d', id) AS doc_id", "'' AS title", "'' AS source",
+                                          "'' AS source_type", "'' AS path", "'' AS url", "concat('o', id) AS origin_doc_id")
+    leaves = parents.selectExpr("concat('l', parent_index) AS doc_key", "doc_id", "text", "'leaf' AS node_type", "concat('l', parent_index) AS leaf_id", "parent_id", "origin_doc_id")
+    ask = spark.createDataFrame([(1, "login loop")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, f"l{i}", i + 1) for i in range(6)], "query_id long, doc_key string, rank int")
+    out = asking.staged_retrieval(ask, hits, leaves, 2, parents).collect()
+    assert len(out) == 2 and 0 < seen[0] <= 6
