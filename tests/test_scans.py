@@ -49,10 +49,11 @@ def test_evidence_carries_what_is_read(spark):
     hits = spark.createDataFrame([(1, 1, "Status: open", {"source_type": "ticket", "entity_id": "t1", "status": "open"})], "query_id long, rank int, text string, metadata map<string,string>")
     nodes = spark.createDataFrame([("Ticket:t1", "Ticket", "T", "Status: closed", {"status": "closed", "channel": "portal"}), ("Account:a", "Account", "A", "x", {"tier": "2"})],
                                   "node_id string, node_type string, label string, text string, properties map<string,string>")
-    near = spark.createDataFrame([(1, "Ticket:t1"), (1, "Account:a")], "query_id long, node_id string")
+    near = spark.createDataFrame([(1, "Ticket:t1"), (1, "Account:a"), (None, "Account:a")], "query_id long, node_id string")
     merge = lambda n, **kw: EV.merge_evidence(EV.evidence_from_hits(hits), EV.evidence_from_nodes(near, n), **kw)
     whole = merge(nodes)
     few = merge(nodes.withColumn("properties", F.map_filter("properties", lambda k, v: k.isin(*EV.READ_FIELDS))), numbered=False)
+    assert whole.count() == few.count() == 2
     assert "pos" in whole.columns and "pos" not in few.columns
     assert not {k for r in few.collect() for k in r["metadata"]} & {"channel", "tier"}
     assert sorted(map(str, EV.contradictions(few).collect())) == sorted(map(str, EV.contradictions(whole).collect())) != []
